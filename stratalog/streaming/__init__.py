@@ -1,0 +1 @@
+"""Intentionally empty: the work re-expressed here is batch only, so there is no stream operator to build."""
