@@ -59,6 +59,8 @@ class SilverRules:
 
     key: str = "show_id"
     required: tuple[str, ...] = ("show_id", "title")
+    # Columns, nulls first, that decide which row of a repeated key is kept.
+    dedupe_order: tuple[str, ...] = ()
     rejection_reason: str = REJECTION_REASON
     null_defaults: dict[str, str] = field(
         default_factory=lambda: {
@@ -84,6 +86,8 @@ class StrictRules:
 
     key: str = "show_id"
     required: tuple[str, ...] = ("show_id", "title")
+    # Columns, nulls first, that decide which row of a repeated key is kept.
+    dedupe_order: tuple[str, ...] = ()
     null_defaults: dict[str, str] = field(
         default_factory=lambda: {
             "director": UNKNOWN,

@@ -63,7 +63,8 @@ def enriched(df: DataFrame, rules: SilverRules) -> DataFrame:
 def silver(bronze: DataFrame, rules: SilverRules = SilverRules()) -> DataFrame:
     """Valid, unique, cleansed and enriched titles; one shuffle, by the key."""
     valid = cleanse.valid_rows(bronze, rules.required)
-    unique = cleanse.dedupe(rows.rename(valid, COLUMN_RENAMES), [rules.key])
+    order = [F.col(c) for c in rules.dedupe_order]
+    unique = cleanse.dedupe(rows.rename(valid, COLUMN_RENAMES), [rules.key], order)
     full = enriched(cleansed(unique, rules), rules)
     stamped = full.withColumn("processed_timestamp", dates.processed_at(rules.processed_at))
     return stamped.select(*SILVER_COLUMNS)
@@ -105,4 +106,5 @@ def dedupe_then_drop(df: DataFrame, rules: StrictRules) -> DataFrame:
     title may win its key and take the key's other rows along.
     """
     keyed = df.filter(F.col(rules.key).isNotNull())
-    return rows.keep_not_null(cleanse.dedupe(keyed, [rules.key]), rules.required)
+    order = [F.col(c) for c in rules.dedupe_order]
+    return rows.keep_not_null(cleanse.dedupe(keyed, [rules.key], order), rules.required)
