@@ -1066,12 +1066,15 @@ _bronze(
     _REJECTED_SQL,
 )
 register(
-    "h1_customers_without_orders",
+    "h1_customers_without_urgent_orders",
     lambda spark, sf_dir: sets.difference(
         table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")),
-        table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")),
+        table(spark, sf_dir, "orders")
+        .filter(F.col("o_orderpriority") == "1-URGENT")
+        .select(F.col("o_custkey").alias("custkey")),
     ),
-    """SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders""",
+    """SELECT c_custkey AS custkey FROM customer
+EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'""",
 )
 
 # ------------------------------------------------------------------------- scalar functions

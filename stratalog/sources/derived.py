@@ -6,105 +6,52 @@ tests, which have no raw catalogue file to read, and grows with the order tables
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.config import MONTH_NAMES
 from stratalog.schema import BRONZE_SCHEMA
 
-# The ratings by remainder of the key; remainder 16 has none.
-RATINGS_BY_REMAINDER = (
-    "TV-MA", "tv-ma ", "TV-14", "PG-13", "R", "TV-PG", "PG", "TV-Y7", "TV-Y7-FV", "TV-Y",
-    "TV-G", "G", "NR", "UR", "NC-17", "66 min",
-)
+# The rule of each column, by the order key k and the order date d.
+TITLE_RULES = {
+    "show_id": "CASE WHEN k % 211 = 0 THEN NULL WHEN k % 223 = 0 THEN '  ' ELSE 's' || k END",
+    "type": "CASE WHEN k % 10 < 7 THEN 'Movie' ELSE ' TV Show ' END",
+    "title": "CASE WHEN k % 227 = 0 THEN NULL WHEN k % 229 = 0 THEN '' ELSE 'Title ' || k END",
+    "director": """CASE WHEN k % 4 = 0 THEN NULL WHEN k % 53 = 0 THEN ' '
+        WHEN k % 9 = 0 THEN c_name || ', Guest Director' ELSE c_name END""",
+    "cast": "CASE WHEN k % 11 = 0 THEN NULL ELSE c_mktsegment || ' Cast, Extra' END",
+    "country": """CASE WHEN k % 12 = 0 THEN NULL WHEN k % 2003 = 0 THEN 'Rareland'
+        ELSE n_name || ', ' || r_name END""",
+    "date_added": """CASE WHEN k % 89 = 0 THEN NULL WHEN k % 101 = 0 THEN 'not a date'
+        ELSE if(k % 7 = 0, ' ', '') || date_format(d, 'MMMM d, ') || (year(d) + 20) END""",
+    "release_year": "CASE WHEN k % 97 = 0 THEN NULL ELSE int(year(d) + 20 - k % 30) END",
+    # Remainder 16 has no rating.
+    "rating": """CASE k % 17 WHEN 0 THEN 'TV-MA' WHEN 1 THEN 'tv-ma ' WHEN 2 THEN 'TV-14'
+        WHEN 3 THEN 'PG-13' WHEN 4 THEN 'R' WHEN 5 THEN 'TV-PG' WHEN 6 THEN 'PG'
+        WHEN 7 THEN 'TV-Y7' WHEN 8 THEN 'TV-Y7-FV' WHEN 9 THEN 'TV-Y' WHEN 10 THEN 'TV-G'
+        WHEN 11 THEN 'G' WHEN 12 THEN 'NR' WHEN 13 THEN 'UR' WHEN 14 THEN 'NC-17'
+        WHEN 15 THEN '66 min' END""",
+    "duration": """CASE WHEN k % 103 = 0 THEN NULL WHEN k % 107 = 0 THEN 'n/a'
+        WHEN k % 10 < 7 THEN (60 + k % 90) || ' min' ELSE (1 + k % 9) || ' Season' END""",
+    "listed_in": """CASE WHEN k % 67 = 0 THEN NULL WHEN k % 3001 = 0 THEN 'Rare Genre'
+        ELSE 'Genre ' || ((k * k) % 23) || ', Other' END""",
+    "description": "CASE WHEN k % 5 = 0 THEN '' ELSE 'About ' || o_orderpriority END",
+}
+COPIES = "explode(CASE WHEN k % 61 = 0 THEN array(1, 2) ELSE array(1) END) AS copy"
+# End of fixed values.
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _rules(*cases: tuple[Column, Column | str | None], otherwise: Column | str) -> Column:
-    chain = F
-    for condition, value in cases:
-        chain = chain.when(condition, value if isinstance(value, Column) else F.lit(value))
-    return chain.otherwise(otherwise)
-
-
 def bronze_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived catalogue; every 61st title occurs twice, as an exact copy."""
-    orders = load(spark, sf_dir, "orders")
-    customers = load(spark, sf_dir, "customer")
-    nations = load(spark, sf_dir, "nation")
-    regions = load(spark, sf_dir, "region")
-    # The places are joined to the customers first, so orders take part in one join only.
-    placed = customers.join(
-        nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")),
-        F.col("c_nationkey") == F.col("n_nationkey"),
-    )
-    facts = orders.join(placed, F.col("o_custkey") == F.col("c_custkey"))
-
-    key, day = F.col("o_orderkey"), F.col("o_orderdate")
-    text = key.cast("string")
-    shifted_year = F.year(day) + 20
-
-    def every(n: int, rest: int = 0) -> Column:
-        return key % n == rest
-
-    is_movie = key % 10 < 7
-    shown_month = F.get(F.array(*(F.lit(m) for m in MONTH_NAMES)), F.month(day) - 1)
-    added = F.concat(
-        F.when(every(7), F.lit(" ")).otherwise(F.lit("")),
-        shown_month,
-        F.lit(" "),
-        F.day(day).cast("string"),
-        F.lit(", "),
-        shifted_year.cast("string"),
+    orders = load(spark, sf_dir, "orders").withColumnsRenamed({"o_orderkey": "k", "o_orderdate": "d"})
+    nations = load(spark, sf_dir, "nation").join(
+        load(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")
     )
-    ratings = F.get(F.array(*(F.lit(r) for r in RATINGS_BY_REMAINDER)), (key % 17).cast("int"))
-    minutes = F.concat((60 + key % 90).cast("string"), F.lit(" min"))
-    seasons = F.concat((1 + key % 9).cast("string"), F.lit(" Season"))
-    columns = {
-        "show_id": _rules(
-            (every(211), None), (every(223), "  "), otherwise=F.concat(F.lit("s"), text)
-        ),
-        "type": _rules((is_movie, "Movie"), otherwise=F.lit(" TV Show ")),
-        "title": _rules(
-            (every(227), None), (every(229), ""), otherwise=F.concat(F.lit("Title "), text)
-        ),
-        "director": _rules(
-            (every(4), None),
-            (every(53), " "),
-            (every(9), F.concat("c_name", F.lit(", Guest Director"))),
-            otherwise=F.col("c_name"),
-        ),
-        "cast": _rules(
-            (every(11), None), otherwise=F.concat("c_mktsegment", F.lit(" Cast, Extra"))
-        ),
-        "country": _rules(
-            (every(12), None),
-            (every(2003), "Rareland"),
-            otherwise=F.concat_ws(", ", "n_name", "r_name"),
-        ),
-        "date_added": _rules((every(89), None), (every(101), "not a date"), otherwise=added),
-        "release_year": _rules(
-            (every(97), F.lit(None).cast("int")),
-            otherwise=(shifted_year - key % 30).cast("int"),
-        ),
-        "rating": ratings,
-        "duration": _rules(
-            (every(103), None), (every(107), "n/a"), (is_movie, minutes), otherwise=seasons
-        ),
-        "listed_in": _rules(
-            (every(67), None),
-            (every(3001), "Rare Genre"),
-            otherwise=F.concat(
-                F.lit("Genre "), ((key * key) % 23).cast("string"), F.lit(", Other")
-            ),
-        ),
-        "description": _rules(
-            (every(5), ""), otherwise=F.concat(F.lit("About "), F.col("o_orderpriority"))
-        ),
-    }
-    copies = F.explode(F.when(every(61), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    titles = facts.select(*(column.alias(name) for name, column in columns.items()), copies)
+    # The places are joined to the customers first, so orders take part in one join only.
+    customers = load(spark, sf_dir, "customer").join(nations, F.expr("c_nationkey = n_nationkey"))
+    facts = orders.join(customers, F.expr("o_custkey = c_custkey"))
+    titles = facts.selectExpr(*(f"{rule} AS `{name}`" for name, rule in TITLE_RULES.items()), COPIES)
     return titles.select(*BRONZE_SCHEMA.names)

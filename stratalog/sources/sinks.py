@@ -46,6 +46,12 @@ def export_csv(df: DataFrame, path: str) -> None:
             for c in arrays
         }
     )
-    rendered.write.mode("overwrite").option("header", True).option("quote", '"').option(
-        "escape", '"'
-    ).csv(path)
+    (
+        rendered.write.mode("overwrite")
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
