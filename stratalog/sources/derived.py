@@ -47,11 +47,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bronze_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived catalogue; every 61st title occurs twice, as an exact copy."""
     orders = load(spark, sf_dir, "orders").withColumnsRenamed({"o_orderkey": "k", "o_orderdate": "d"})
-    nations = load(spark, sf_dir, "nation").join(
-        load(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")
+    # Orders come first and are streamed; each other side is broadcast only if Spark finds it small.
+    facts = (
+        orders.join(load(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        .join(load(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(load(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     )
-    # The places are joined to the customers first, so orders take part in one join only.
-    customers = load(spark, sf_dir, "customer").join(nations, F.expr("c_nationkey = n_nationkey"))
-    facts = orders.join(customers, F.expr("o_custkey = c_custkey"))
     titles = facts.selectExpr(*(f"{rule} AS `{name}`" for name, rule in TITLE_RULES.items()), COPIES)
     return titles.select(*BRONZE_SCHEMA.names)
