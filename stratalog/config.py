@@ -62,6 +62,8 @@ class SilverRules:
     # Columns, nulls first, that decide which row of a repeated key is kept.
     dedupe_order: tuple[str, ...] = ()
     rejection_reason: str = REJECTION_REASON
+    # Identical rejects are all kept; True leaves one of each, as a set difference would.
+    distinct_rejects: bool = False
     null_defaults: dict[str, str] = field(
         default_factory=lambda: {
             "director": UNKNOWN,

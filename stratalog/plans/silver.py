@@ -71,9 +71,11 @@ def silver(bronze: DataFrame, rules: SilverRules = SilverRules()) -> DataFrame:
 
 
 def rejected(bronze: DataFrame, rules: SilverRules = SilverRules()) -> DataFrame:
-    return cleanse.rejected_rows(
+    # Copies of a row are valid or rejected together, so they may be dropped after the filter.
+    kept = cleanse.rejected_rows(
         bronze, rules.required, rules.rejection_reason, dates.processed_at(rules.processed_at)
     )
+    return kept.distinct() if rules.distinct_rejects else kept
 
 
 def strict_silver(bronze: DataFrame, rules: StrictRules = StrictRules()) -> DataFrame:

@@ -10,6 +10,7 @@ from stratalog.config import (
     REJECTION_REASON,
     TV_SHOW,
     GoldRules,
+    SilverRules,
     StrictRules,
 )
 from stratalog.functions import dates, duration, quality, text
@@ -1060,6 +1061,13 @@ _bronze(
     lambda df: sets.difference(df, cleanse.valid_rows(df, REQUIRED)),
     f"SELECT DISTINCT * FROM ({_REJECTED_SQL})",
 )
+_bronze(
+    "h1_distinct_rejects",
+    lambda df: silver_plans.rejected(
+        df, SilverRules(processed_at="2026-02-09 12:00:00", distinct_rejects=True)
+    ).drop("rejected_at", "rejection_reason"),
+    f"SELECT DISTINCT * FROM ({_REJECTED_SQL})",
+)
 _bronze(
     "h1_difference_all",
     lambda df: sets.difference_all(df, cleanse.valid_rows(df, REQUIRED)),

@@ -8,10 +8,38 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+MIB = 1024 * 1024
+SHUFFLE_PARTITION_BYTES = 256 * MIB
+MAX_SHUFFLE_PARTITIONS = 50_000
+MAX_SCAN_TASKS = 100_000
+
+
+def sizing(input_bytes: int) -> dict[str, str]:
+    """Scan and shuffle settings for an input of that size.
+
+    Deduplication shuffles whole rows, so partitions must fit a task that sorts and spills. A shuffle
+    has scan tasks times partitions blocks; both are capped, and grow in size beyond the caps.
+    Adaptive execution merges what turns out small, but never splits what was planned too large.
+    """
+    partitions = min(max(-(-input_bytes // SHUFFLE_PARTITION_BYTES), 200), MAX_SHUFFLE_PARTITIONS)
+    split = max(128 * MIB, -(-input_bytes // MAX_SCAN_TASKS))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(split),
+    }
+
+
 def build_session(
-    app: str = "stratalog", master: str | None = None, shuffle_partitions: int | None = None
+    app: str = "stratalog",
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    input_bytes: int | None = None,
 ) -> SparkSession:
-    """A session with adaptive execution on; on a cluster leave master and partitions unset."""
+    """A session with adaptive execution on.
+
+    On a cluster leave ``master`` unset and give the size of the input; ``shuffle_partitions`` is
+    for tests, where a few are enough.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -25,6 +53,8 @@ def build_session(
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
         builder = builder.config("spark.ui.showConsoleProgress", "false")
+    for key, value in sizing(input_bytes).items() if input_bytes else ():
+        builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

@@ -97,6 +97,12 @@ def test_rejects_and_silver_account_for_the_input(bronze, silver):
     assert valid > silver.count() == silver.select("show_id").distinct().count()
 
 
+def test_distinct_rejects(bronze):
+    all_rejects = rejected(bronze, FIXED)
+    one_each = rejected(bronze, SilverRules(processed_at=FIXED.processed_at, distinct_rejects=True))
+    assert one_each.count() == all_rejects.distinct().count() <= all_rejects.count()
+
+
 def test_counts_agree_across_tables(silver, tables):
     overview = tables["content_overview"].first()
     total = overview.total_content_count

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratalog.config import PANDAS_NULL_TOKENS
 from stratalog.plans.gold import GOLD_TABLES, build
 from stratalog.schema import BRONZE_SCHEMA
-from stratalog.session import scratch_path
+from stratalog.session import scratch_path, sizing
 from stratalog.sources import catalogue, readers, sinks
 
 HEADER = ",".join(BRONZE_SCHEMA.names)
@@ -143,3 +143,11 @@ def test_scratch_paths_follow_the_cluster(spark):
     with pytest.raises(ValueError, match="checkpoint"):
         scratch_path(NamedFolder(None), "a")
     assert scratch_path(spark, "a").startswith("/")
+
+
+def test_sizing_grows_with_the_input_and_is_capped():
+    key, split = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
+    small, large, huge = (sizing(n) for n in (10**9, 10**12, 10**14))
+    assert (small[key], small[split]) == ("200", str(128 * 1024 * 1024))
+    assert int(large[key]) == 3726
+    assert int(huge[key]) == 50_000 and int(huge[split]) == 10**9
