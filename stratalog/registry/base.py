@@ -28,6 +28,11 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
+def sql_text(array: str) -> str:
+    """An array rendered as ``sinks.render_arrays`` does."""
+    return f"'[' || array_to_string({array}, ', ') || ']'"
+
+
 def register(name: str, run: Query, sql: str | None) -> None:
     if name in REGISTRY:
         raise ValueError(f"{name} is registered twice")

@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 from stratalog.plans.gold import GOLD_TABLES, in_report_order
-from stratalog.registry.base import gold, on_bronze, on_silver, register, sql_on_bronze
-from stratalog.registry.base import sql_on_gold, sql_on_silver
+from stratalog.registry.base import (
+    gold,
+    on_bronze,
+    on_silver,
+    register,
+    sql_on_bronze,
+    sql_on_gold,
+    sql_on_silver,
+    sql_text,
+)
+from stratalog.sources.sinks import render_arrays
 
 register("bronze_catalogue", on_bronze(lambda df: df), sql_on_bronze("SELECT * FROM bronze"))
 
@@ -15,13 +24,19 @@ register(
 )
 
 
+# Arrays are compared as texts.
+_ARRAYS = {"quality_scorecard": "sample_titles", "top_producers": "genres_worked_in"}
+
+
 def _reader_view(name: str):
-    return lambda spark, sf_dir: in_report_order(name, gold(spark, sf_dir, name))
+    return lambda spark, sf_dir: render_arrays(in_report_order(name, gold(spark, sf_dir, name)))
 
 
 for _number, _name in enumerate(GOLD_TABLES, start=1):
+    _array = _ARRAYS.get(_name)
+    _columns = f"* REPLACE ({sql_text(_array)} AS {_array})" if _array else "*"
     register(
         f"k{_number}_{_name}",
         _reader_view(_name),
-        sql_on_gold(_name, f"SELECT * FROM {_name}"),
+        sql_on_gold(_name, f"SELECT {_columns} FROM {_name}"),
     )

@@ -46,8 +46,10 @@ from stratalog.registry.base import (
     sql_on_tiers,
     sql_percent,
     sql_share,
+    sql_text,
     table,
 )
+from stratalog.sources.sinks import render_arrays
 
 REQUIRED = SILVER_RULES.required
 
@@ -458,14 +460,14 @@ def _counts_with_samples(df):
     groups = ["content_type", "quality_tier"]
     counts = tiered.groupBy(*groups).agg(F.count(F.lit(1)).alias("titles"))
     samples = gold_plans.sample_titles(tiered.filter(F.col("release_year") >= 2014), GOLD_RULES)
-    return joins.attach(counts, samples, groups)
+    return render_arrays(joins.attach(counts, samples, groups))
 
 
 register(
     "d2_left_join_samples",
     on_silver(_counts_with_samples),
     sql_on_tiers(
-        """SELECT content_type, quality_tier, titles, sample_titles
+        f"""SELECT content_type, quality_tier, titles, {sql_text("sample_titles")} AS sample_titles
 FROM (SELECT content_type, quality_tier, count(*) AS titles FROM tiered GROUP BY 1, 2)
 LEFT JOIN (SELECT content_type, quality_tier, list(title ORDER BY title, show_id) AS sample_titles
   FROM (SELECT * FROM tiered WHERE release_year >= 2014 QUALIFY row_number() OVER (

@@ -15,7 +15,8 @@ from stratalog.plans.reports import (
     rating,
     temporal,
 )
-from stratalog.registry.base import on_gold, register, sql_mean, sql_on_gold
+from stratalog.registry.base import on_gold, register, sql_mean, sql_on_gold, sql_text
+from stratalog.sources.sinks import render_arrays
 
 
 def _subject(gold_name: str):
@@ -433,8 +434,8 @@ FROM quality_scorecard GROUP BY GROUPING SETS ((content_type, quality_tier), (co
 )
 _report(
     "l44_low_quality_rows",
-    quality.low_quality_rows,
-    """SELECT * FROM quality_scorecard
+    lambda df: render_arrays(quality.low_quality_rows(df)),
+    f"""SELECT * REPLACE ({sql_text("sample_titles")} AS sample_titles) FROM quality_scorecard
 WHERE quality_tier LIKE '%Poor%' OR quality_tier LIKE '%Fair%'""",
 )
 _report(
@@ -509,8 +510,8 @@ ORDER BY recent_works_count DESC, director, content_type LIMIT 20""",
 )
 _report(
     "l55_producer_search",
-    lambda df: producers.search(df, "MER#00000001"),
-    f"""SELECT * {_MADE} AND lower(director) LIKE '%mer#00000001%'
+    lambda df: render_arrays(producers.search(df, "MER#00000001")),
+    f"""SELECT * REPLACE ({sql_text("genres_worked_in")} AS genres_worked_in) {_MADE} AND lower(director) LIKE '%mer#00000001%'
 ORDER BY content_type, rank_by_volume LIMIT 10""",
 )
 _report(

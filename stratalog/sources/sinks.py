@@ -34,20 +34,22 @@ def write_if_any(df: DataFrame, path: str) -> bool:
     return True
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; arrays are rendered as ``[a, b]``."""
+def render_arrays(df: DataFrame) -> DataFrame:
+    """Arrays as texts of the form ``[a, b]``; a null array stays null."""
     arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    rendered = df.withColumns(
-        {
-            c: F.when(
-                F.col(c).isNotNull(),
-                F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]")),
-            )
-            for c in arrays
-        }
-    )
+
+    def text(name: str):
+        joined = F.array_join(F.col(name).cast("array<string>"), ", ")
+        return F.concat(F.lit("["), joined, F.lit("]"))
+
+    return df.withColumns({c: text(c) for c in arrays}) if arrays else df
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; texts are kept as they are, arrays are rendered."""
     (
-        rendered.write.mode("overwrite")
+        render_arrays(df)
+        .write.mode("overwrite")
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
