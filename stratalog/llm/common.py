@@ -40,11 +40,20 @@ def ship(spark: SparkSession) -> None:
     setattr(context, marker, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, with_path: bool = False):
     """``df`` written to the shared scratch folder and read again, which cuts its lineage."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (table, path) if with_path else table
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables of this run that nothing reads any more."""
+    jvm = spark._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

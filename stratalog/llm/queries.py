@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from stratalog.llm import exact_dedup, sharding, token_counts, url_filter
+from stratalog.llm import (
+    bpe,
+    exact_dedup,
+    minhash,
+    packing,
+    sharding,
+    simhash,
+    token_counts,
+    url_filter,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_bpe_encoding": bpe.op8_bpe_encoding,
+    "op10_simhash": simhash.op10_simhash,
 }
 SQL = {
     **exact_dedup.SQL,
