@@ -10,6 +10,7 @@ pieces of a length are then ranked on the cluster, and their rank says which seq
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +23,8 @@ from stratalog.llm.common import documents, ranked, salt, ship, shuffle_partitio
 from stratalog.llm.tokens import END_OF_TEXT, tokenizer, vocabulary_path
 
 CAPACITY = 2048
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000  # words whose ids a worker remembers; this only saves time
+SHORT_WORD = 9  # at the bound shorter words, the more frequent ones, stay
 FLUSH_ROWS = 4096
 
 
@@ -128,28 +130,31 @@ class WordIds:
     """Ids of texts as the library gives them, which sees each word of a text once.
 
     A byte-level tokenizer cuts a text into words and encodes each for itself, so the ids of a text are
-    those of its words. Words are what its own pre-tokenizer finds; those met before are looked up.
+    those of its words. A new word goes to the library's model, in the letters that stand for its bytes;
+    those met before are looked up.
     """
 
     def __init__(self, path: str):
-        from stratalog.llm.bpe import WORDS
+        from stratalog.llm.bpe import WORDS, byte_letters
 
         import regex
 
         self.library = tokenizer(path)
+        self.model = self.library.model
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.find = regex.compile(WORDS).findall
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = {t: self._packed([self.library.token_to_id(t)])[0] for t in added}
+        self.special = {t: array("I", [self.library.token_to_id(t)]).tobytes() for t in added}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def _packed(ids: list[int]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes()]
-
     def _learn(self, words: list[str]) -> None:
-        for word, coded in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(coded.ids, "<u4").tobytes()
+        if len(self.known) > WORDS_KEPT:
+            short = {w: c for w, c in self.known.items() if len(w) <= SHORT_WORD}
+            self.known = short if len(short) <= WORDS_KEPT // 2 else {}
+        for word in set(words).difference(self.known):
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            self.known[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -159,10 +164,7 @@ class WordIds:
                 parts.append(self.special[part])
                 continue
             words = self.find(part)
-            if len(self.known) > WORDS_KEPT:
-                self.known.clear()
-            if new := list(set(words).difference(self.known)):
-                self._learn(new)
+            self._learn(words)
             parts.append(b"".join(map(self.known.__getitem__, words)))
         return b"".join(parts)
 
