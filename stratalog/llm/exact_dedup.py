@@ -189,7 +189,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         members_first(rows, "doc_id", suspects)
         .select("doc_id", plain.alias("plain"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
         .withColumn("fingerprint", F.xxhash64("plain"))
-        .join(repeated, "fingerprint", "left_semi")
+        .join(repeated, "fingerprint")  # as these are distinct; a semi-join would move ahead of the filter
     )
     best = F.max(F.struct("chars", F.col("doc_id").isNotNull().alias("known"), -F.col("doc_id")))
     groups = claimed.groupBy("plain").agg(
