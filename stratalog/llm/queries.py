@@ -7,9 +7,11 @@ from stratalog.llm import (
     exact_dedup,
     minhash,
     packing,
+    quality,
     sharding,
     simhash,
     token_counts,
+    toxicity,
     url_filter,
 )
 
@@ -19,8 +21,10 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
+    "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_simhash": simhash.op10_simhash,
 }
 SQL = {
