@@ -2,7 +2,8 @@
 
 Adding doubles in another order can flip a rounded digit, and a cluster never adds twice in the same
 order. Scores and rounded measures are multiples of a known step, so these sum whole steps and
-divide once.
+divide once. A value that is no multiple of its step fails the query instead of being rounded. Sums of
+steps are decimals of 30 digits, which no table overflows.
 """
 
 from __future__ import annotations
@@ -17,17 +18,30 @@ def _col(value: str | Column) -> Column:
 
 def steps(value: str | Column, places: int) -> Column:
     """A value with at most ``places`` decimals, as a whole number of its last place."""
-    return F.round(_col(value) * F.lit(float(10**places))).cast("long")
+    return _whole(_col(value) * F.lit(float(10**places)), f"more than {places} decimals")
+
+
+def _whole(scaled: Column, fault: str) -> Column:
+    """The whole number behind a double that is one but for its rounding error."""
+    whole = F.round(scaled)
+    off = F.abs(scaled - whole) > F.greatest(F.lit(1e-6), F.abs(whole) * 1e-12)
+    message = F.concat(F.lit(f"a value has {fault}: "), scaled.cast("string"))
+    return F.when(off, F.raise_error(message).cast("long")).otherwise(whole.cast("long"))
+
+
+def wide_sum(whole: str | Column) -> Column:
+    """Sum of whole numbers beyond the range of a bigint."""
+    return F.sum(_col(whole).cast("decimal(20,0)"))
 
 
 def exact_sum(value: str | Column, places: int) -> Column:
-    return F.sum(steps(value, places)) / F.lit(float(10**places))
+    return wide_sum(steps(value, places)).cast("double") / F.lit(float(10**places))
 
 
 def exact_mean(value: str | Column, places: int) -> Column:
     """Mean of the non-null values; null where there is none."""
     return F.try_divide(
-        F.sum(steps(value, places)).cast("double"),
+        wide_sum(steps(value, places)).cast("double"),
         F.count(_col(value)) * F.lit(float(10**places)),
     )
 
@@ -36,14 +50,14 @@ def weighted_mean(value: str | Column, weight: str, places: int) -> Column:
     """Mean over the non-null values, each counted ``weight`` times."""
     known_weight = F.when(_col(value).isNotNull(), F.col(weight))
     return F.try_divide(
-        F.sum(steps(value, places) * F.col(weight)).cast("double"),
+        F.sum(steps(value, places).cast("decimal(19,0)") * F.col(weight)).cast("double"),
         F.sum(known_weight) * F.lit(float(10**places)),
     )
 
 
 def score_points(score: str | Column, points: int) -> Column:
-    """The whole points behind a score that is ``k / points``."""
-    return F.round(_col(score) * F.lit(float(points))).cast("long")
+    """The whole points behind a score that is ``k / points``; another score is an error."""
+    return _whole(_col(score) * F.lit(float(points)), f"no whole number of {points} points")
 
 
 def mean_score(score: str | Column, points: int) -> Column:

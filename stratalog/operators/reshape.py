@@ -17,15 +17,21 @@ def pivot_sum(
 ) -> DataFrame:
     """Sum of ``value`` per row key and column value, 0 where a cell has no row.
 
-    Without ``column_values`` Spark looks up the distinct ones first, which costs a job; with them
-    the caller vouches that the list is whole.
+    Without ``column_values`` Spark looks up the distinct ones first, which costs a job. With them a
+    value outside the list fails the query, so nothing is left out unseen.
     """
-    grouped = df.groupBy(*rows)
     if column_values is None:
-        pivoted = grouped.pivot(column)
-    else:
-        pivoted = grouped.pivot(column, list(column_values))
-    return pivoted.agg(F.sum(value)).na.fill(0)
+        return df.groupBy(*rows).pivot(column).agg(F.sum(value)).na.fill(0)
+    listed = list(column_values)
+    checked = df.withColumn(column, _listed(column, listed))
+    return checked.groupBy(*rows).pivot(column, listed).agg(F.sum(value)).na.fill(0)
+
+
+def _listed(name: str, values: Sequence) -> Column:
+    """The column, or an error where it has a value (not null) that is not listed."""
+    unknown = F.col(name).isNotNull() & ~F.col(name).isin(list(values))
+    message = F.concat(F.lit(f"{name} has a value that is not listed: "), F.col(name).cast("string"))
+    return F.when(unknown, F.raise_error(message)).otherwise(F.col(name))
 
 
 def unpivot(
@@ -60,8 +66,11 @@ def hierarchy_totals(
 def transpose(
     df: DataFrame, key: str, fields: dict[str, str], field: str, key_values: Sequence[str]
 ) -> DataFrame:
-    """One row per field and one column per key; ``fields`` maps columns to row labels."""
-    labelled = df.select(key, *(F.col(c).alias(label) for c, label in fields.items()))
+    """One row per field and one column per key; ``fields`` maps columns to row labels.
+
+    A key that is not listed fails the query.
+    """
+    labelled = df.select(_listed(key, key_values).alias(key), *(F.col(c).alias(label) for c, label in fields.items()))
     long = labelled.unpivot([key], list(fields.values()), field, "_value")
     # One row per field and key, so any aggregate hands the value through.
     return long.groupBy(field).pivot(key, list(key_values)).agg(F.max("_value"))

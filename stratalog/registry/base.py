@@ -131,7 +131,7 @@ single_titles AS (
          WHEN k % 10 < 7 THEN (60 + k % 90) || ' min' ELSE (1 + k % 9) || ' Season' END
       AS duration,
     CASE WHEN k % 67 = 0 THEN NULL WHEN k % 3001 = 0 THEN 'Rare Genre'
-         ELSE 'Genre ' || ((k * k) % 23) || ', Other' END AS listed_in,
+         ELSE 'Genre ' || ((k % 23) * (k % 23) % 23) || ', Other' END AS listed_in,
     CASE WHEN k % 5 = 0 THEN '' ELSE 'About ' || o_orderpriority END AS description
   FROM base
 ),
@@ -192,10 +192,8 @@ silver AS (
   FROM features
 )"""
 
-_SCORE = (
-    "round(CAST(sum(CAST(round(data_quality_score * 5) AS BIGINT)) AS DOUBLE)"
-    " / (5.0 * CAST(count(*) AS DOUBLE)), 3)"
-)
+# Decimals add without error, and this takes the score as it is.
+_SCORE = "round(avg(CAST(data_quality_score AS DECIMAL(12, 9))), 3)"
 _AGE = f"round({sql_avg('content_age_years')}, 1)"
 _DURATION = f"round({sql_avg('duration_value')}, 1)"
 _TYPE_SHARE = (

@@ -24,6 +24,7 @@ from stratalog.functions.measures import (
     share_where,
     steps,
     weighted_mean,
+    wide_sum,
 )
 from stratalog.operators import aggregates, cleanse, joins, ranking, reshape, rows, sets, windows
 from stratalog.plans import gold as gold_plans
@@ -710,7 +711,6 @@ _silver(
     lambda df: aggregates.distinct_values(df, ["content_type", "rating"]),
     "SELECT DISTINCT content_type, rating FROM silver",
 )
-_YEARS = list(range(1995, 2002))
 
 
 def _orders_month_by_year(spark, sf_dir):
@@ -719,17 +719,15 @@ def _orders_month_by_year(spark, sf_dir):
         F.year("o_orderdate").alias("order_year"),
         F.lit(1).alias("orders"),
     )
-    return reshape.pivot_sum(orders, ["order_month"], "order_year", "orders", _YEARS)
+    return reshape.pivot_sum(orders, ["order_month"], "order_year", "orders")
 
 
 register(
     "e18_orders_month_year_pivot",
     _orders_month_by_year,
-    "SELECT CAST(month(o_orderdate) AS INTEGER) AS order_month, "
-    + ", ".join(
-        f'CAST(count(*) FILTER (WHERE year(o_orderdate) = {y}) AS BIGINT) AS "{y}"' for y in _YEARS
-    )
-    + " FROM orders GROUP BY 1",
+    """SELECT * FROM (
+  PIVOT (SELECT CAST(month(o_orderdate) AS INTEGER) AS order_month, year(o_orderdate) AS y FROM orders)
+  ON y USING CAST(count(*) AS BIGINT) GROUP BY order_month)""",
 )
 
 
@@ -737,29 +735,22 @@ def _nation_years_long(spark, sf_dir):
     # Orders shrink to a row per customer and year before they meet the customers.
     orders = (
         table(spark, sf_dir, "orders")
-        .groupBy("o_custkey")
-        .agg(
-            *(
-                count_where(F.year("o_orderdate") == y).alias(f"orders_{y}")
-                for y in (1999, 2000, 2001)
-            )
-        )
-    )
-    wide = (
-        orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey")
-        .agg(*(F.sum(f"orders_{y}").alias(f"orders_{y}") for y in (1999, 2000, 2001)))
+        .groupBy("o_custkey", F.concat(F.lit("orders_"), F.year("o_orderdate")).alias("order_year"))
+        .agg(F.count(F.lit(1)).alias("orders"))
     )
-    columns = [f"orders_{y}" for y in (1999, 2000, 2001)]
-    return reshape.unpivot(wide, ["c_nationkey"], columns, "year", "orders", "orders_")
+    counted = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    wide = reshape.pivot_sum(counted, ["c_nationkey"], "order_year", "orders")
+    years = [c for c in wide.columns if c != "c_nationkey"]
+    return reshape.unpivot(wide, ["c_nationkey"], years, "year", "orders", "orders_")
 
 
 register(
     "e19_nation_years_unpivot",
     _nation_years_long,
-    """SELECT c_nationkey, y AS "year",
-  CAST(count(*) FILTER (WHERE CAST(year(o_orderdate) AS VARCHAR) = y) AS BIGINT) AS orders
-FROM orders JOIN customer ON o_custkey = c_custkey, unnest(['1999', '2000', '2001']) AS t(y)
+    """SELECT c_nationkey, CAST(y AS VARCHAR) AS "year",
+  CAST(count(*) FILTER (WHERE year(o_orderdate) = y) AS BIGINT) AS orders
+FROM orders JOIN customer ON o_custkey = c_custkey,
+  (SELECT DISTINCT year(o_orderdate) AS y FROM orders) AS t
 GROUP BY 1, 2""",
 )
 
@@ -768,7 +759,7 @@ def _region_nation_totals(spark, sf_dir):
     per_customer = (
         table(spark, sf_dir, "orders")
         .groupBy("o_custkey")
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum(steps("o_totalprice", 2)).alias("cents"))
+        .agg(F.count(F.lit(1)).alias("orders"), wide_sum(steps("o_totalprice", 2)).alias("cents"))
     )
     per_nation = (
         per_customer.join(
@@ -783,7 +774,7 @@ def _region_nation_totals(spark, sf_dir):
     return reshape.hierarchy_totals(
         named,
         ["r_name", "n_name"],
-        [F.sum("orders").alias("orders"), (F.sum("cents") / 100).alias("revenue")],
+        [F.sum("orders").alias("orders"), (F.sum("cents").cast("double") / 100).alias("revenue")],
         grand_total=True,
     )
 
@@ -864,7 +855,7 @@ def _type_share_in_brand(spark, sf_dir):
     # Revenue per part first: one row per part meets the part table, however hot a part is.
     cents = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000.0).cast("long")
     per_part = (
-        table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(cents).alias("units"))
+        table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(wide_sum(cents).alias("units"))
     )
     groups = (
         per_part.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -873,7 +864,7 @@ def _type_share_in_brand(spark, sf_dir):
     )
     shares = windows.share_of_group(groups, ["p_brand"], "units", "share_of_brand")
     return shares.select(
-        "p_brand", "p_type", (F.col("units") / 10000.0).alias("revenue"), "share_of_brand"
+        "p_brand", "p_type", (F.col("units").cast("double") / 10000.0).alias("revenue"), "share_of_brand"
     )
 
 
@@ -892,7 +883,7 @@ def _monthly_order_value(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
         "o_orderstatus",
         F.date_format("o_orderdate", "yyyy-MM").alias("order_month"),
-        steps("o_totalprice", 2).alias("cents"),
+        steps("o_totalprice", 2).cast("decimal(20,0)").alias("cents"),
     )
     totals = windows.running_total(
         orders, ["o_orderstatus"], ["order_month"], "cents", "cents_so_far"
@@ -900,8 +891,8 @@ def _monthly_order_value(spark, sf_dir):
     return totals.select(
         "o_orderstatus",
         "order_month",
-        (F.col("cents") / 100).alias("value"),
-        (F.col("cents_so_far") / 100).alias("value_so_far"),
+        (F.col("cents").cast("double") / 100).alias("value"),
+        (F.col("cents_so_far").cast("double") / 100).alias("value_so_far"),
     )
 
 
@@ -920,14 +911,14 @@ def _top_customers_per_nation(spark, sf_dir):
     value = (
         table(spark, sf_dir, "orders")
         .groupBy("o_custkey")
-        .agg(F.sum(steps("o_totalprice", 2)).alias("cents"))
+        .agg(wide_sum(steps("o_totalprice", 2)).alias("cents"))
     )
     customers = value.join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     order = [F.desc("cents"), F.asc("c_custkey")]
     return windows.top_k(customers, ["c_nationkey"], order, 5, "position").select(
-        "c_nationkey", "c_custkey", (F.col("cents") / 100).alias("value"), "position"
+        "c_nationkey", "c_custkey", (F.col("cents").cast("double") / 100).alias("value"), "position"
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from stratalog.config import VALID_RATINGS
 from stratalog.plans.reports import (
     genre,
     geography,
@@ -198,8 +199,9 @@ _report(
 
 # ------------------------------------------------------------------------------------ rating
 _report = _subject("rating_distribution")
-_RATED = """FROM rating_distribution WHERE rating IN ('TV-MA', 'TV-14', 'TV-PG', 'R', 'PG-13',
-  'TV-Y7', 'TV-Y', 'PG', 'G', 'NC-17', 'NR', 'TV-G', 'TV-Y7-FV', 'UR', 'UNRATED')"""
+_RATED = "FROM rating_distribution WHERE rating IN ({})".format(
+    ", ".join(f"'{rating_}'" for rating_ in VALID_RATINGS)
+)
 _report(
     "l20_rating_kpis",
     rating.kpis,
@@ -319,17 +321,12 @@ _report(
   CAST(sum(content_added_count) AS DOUBLE) / count(*) AS content_added_count
 FROM temporal_trends GROUP BY 1, 2""",
 )
-_YEARS = range(2015, 2022)
 _report(
     "l34_month_year_matrix",
-    lambda df: temporal.month_year_matrix(df, list(_YEARS)),
-    "SELECT added_month, "
-    + ", ".join(
-        f"CAST(sum(CASE WHEN added_year = {y} THEN content_added_count ELSE 0 END) AS BIGINT)"
-        f' AS "{y}"'
-        for y in _YEARS
-    )
-    + " FROM temporal_trends GROUP BY added_month",
+    temporal.month_year_matrix,
+    """SELECT * FROM (
+  PIVOT (SELECT added_month, added_year, content_added_count FROM temporal_trends)
+  ON added_year USING CAST(coalesce(sum(content_added_count), 0) AS BIGINT) GROUP BY added_month)""",
 )
 _report(
     "l35_age_at_addition",

@@ -33,7 +33,7 @@ TITLE_RULES = {
     "duration": """CASE WHEN k % 103 = 0 THEN NULL WHEN k % 107 = 0 THEN 'n/a'
         WHEN k % 10 < 7 THEN (60 + k % 90) || ' min' ELSE (1 + k % 9) || ' Season' END""",
     "listed_in": """CASE WHEN k % 67 = 0 THEN NULL WHEN k % 3001 = 0 THEN 'Rare Genre'
-        ELSE 'Genre ' || ((k * k) % 23) || ', Other' END""",
+        ELSE 'Genre ' || ((k % 23) * (k % 23) % 23) || ', Other' END""",
     "description": "CASE WHEN k % 5 = 0 THEN '' ELSE 'About ' || o_orderpriority END",
 }
 COPIES = "explode(CASE WHEN k % 61 = 0 THEN array(1, 2) ELSE array(1) END) AS copy"
