@@ -53,14 +53,18 @@ PANDAS_NULL_TOKENS = (
 # End of fixed values.
 
 
+# Which of the rows of a key counts as its first: files have no order of their own.
+DEDUPE_ORDER = ("title", "date_added", "release_year")
+
+
 @dataclass(frozen=True)
 class SilverRules:
     """Rules of the standard bronze-to-silver profile."""
 
     key: str = "show_id"
     required: tuple[str, ...] = ("show_id", "title")
-    # Columns, nulls first, that decide which row of a repeated key is kept.
-    dedupe_order: tuple[str, ...] = ()
+    # Columns (renamed ones), nulls first, that decide which row of a repeated key is kept.
+    dedupe_order: tuple[str, ...] = DEDUPE_ORDER
     rejection_reason: str = REJECTION_REASON
     # Identical rejects are all kept; True leaves one of each, as a set difference would.
     distinct_rejects: bool = False
@@ -88,8 +92,8 @@ class StrictRules:
 
     key: str = "show_id"
     required: tuple[str, ...] = ("show_id", "title")
-    # Columns, nulls first, that decide which row of a repeated key is kept.
-    dedupe_order: tuple[str, ...] = ()
+    # Columns (renamed ones), nulls first, that decide which row of a repeated key is kept.
+    dedupe_order: tuple[str, ...] = DEDUPE_ORDER
     null_defaults: dict[str, str] = field(
         default_factory=lambda: {
             "director": UNKNOWN,

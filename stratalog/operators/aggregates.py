@@ -8,9 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def distinct_where(key: str, condition: Column) -> Column:
-    """Exact number of distinct keys among the rows that meet the condition."""
-    return F.count_distinct(F.when(condition, F.col(key)))
+def distinct_where(
+    df: DataFrame, by: Sequence[str], key: str, conditions: dict[str, Column]
+) -> DataFrame:
+    """Exact numbers of distinct keys per group among the rows that meet each condition.
+
+    Each key of a group shrinks to one row of flags first, with a map-side combine. Several distinct
+    counts at once would repeat every input row for each of them.
+    """
+    flags = [F.bool_or(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()]
+    keys = df.groupBy(*by, key).agg(*flags)
+    known = F.col(key).isNotNull()
+    return keys.groupBy(*by).agg(*(F.count_if(known & F.col(n)).alias(n) for n in conditions))
 
 
 def arg_max(key: str, measure: str) -> Column:

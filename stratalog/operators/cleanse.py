@@ -23,14 +23,17 @@ def rejected_rows(
     )
 
 
-def dedupe(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column] = ()) -> DataFrame:
+def dedupe(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[Column] = (), total: bool = False
+) -> DataFrame:
     """One row per key: the first by ``order_by``, ties broken by a fingerprint of the row.
 
-    The same row wins however the input is partitioned. Spark puts a group limit of one row per key
+    The same row wins however the input is partitioned. With ``total`` the caller says that the order
+    leaves no ties; then only the columns in use are read. Spark puts a group limit of one row per key
     in front of the shuffle, so a key with very many copies sends one row per input task.
     """
-    fingerprint = F.xxhash64(*(F.col(c) for c in df.columns))
-    first = Window.partitionBy(*keys).orderBy(*order_by, fingerprint)
+    ties = [] if total else [F.xxhash64(*(F.col(c) for c in df.columns))]
+    first = Window.partitionBy(*keys).orderBy(*order_by, *ties)
     return df.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -15,24 +14,6 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.distinct().subtract(right.distinct())
 
 
-def difference_all(left: DataFrame, right: DataFrame, copies_per_task: int = 10_000) -> DataFrame:
-    """Bag difference: each row of ``right`` takes away one equal row of ``left``.
-
-    Equal rows travel as a row and its count. Where more copies remain than one task should make,
-    the count is cut into pieces that are spread over the cluster before they are unfolded.
-    """
-    columns = left.columns
-    added = left.withColumn("_n", F.lit(1))
-    taken = right.toDF(*columns).withColumn("_n", F.lit(-1))
-    counts = added.union(taken).groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n > 0")
-    few = counts.filter(F.col("_n") <= copies_per_task)
-    starts = F.sequence(F.lit(0), F.col("_n") - 1, F.lit(copies_per_task))
-    pieces = (
-        counts.filter(F.col("_n") > copies_per_task)
-        .withColumn("_start", F.explode(starts))
-        .repartition(*columns, "_start")
-        .withColumn("_n", F.least(F.col("_n") - F.col("_start"), F.lit(copies_per_task)))
-        .drop("_start")
-    )
-    unfold = F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")
-    return few.union(pieces).select(*columns, unfold).drop("_i")
+def difference_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Bag difference: each row of ``right`` takes away one equal row of ``left``."""
+    return left.exceptAll(right.toDF(*left.columns))

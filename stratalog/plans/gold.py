@@ -1,8 +1,8 @@
 """Silver to gold: seven aggregate tables.
 
 Silver holds one row per ``show_id`` (see :func:`stratalog.plans.silver.silver`), so rows are
-counted instead of distinct ids: one hash aggregation with map-side combine per table. Use
-:func:`stratalog.plans.jobs.assert_unique` on a silver table of other origin.
+counted instead of distinct ids: one hash aggregation with map-side combine per table.
+:func:`build` makes sure of it unless the caller has.
 
 The builders leave the rows unsorted, for the sinks; :func:`in_report_order` sorts for readers.
 """
@@ -246,27 +246,30 @@ def quality_scorecard(silver: DataFrame, rules: GoldRules = GoldRules()) -> Data
 
 def top_producers(silver: DataFrame, rules: GoldRules = GoldRules()) -> DataFrame:
     """Single directors per type, ranked by number of titles."""
-    directors = (
-        silver.filter((F.col("director") != UNKNOWN) & ~F.col("director").contains(","))
-        .groupBy("director", "content_type")
-        .agg(
-            _titles().alias("content_count"),
-            # The rounded score is the sort key of the ranking.
-            _score(rules).alias("avg_quality_score"),
-            aggregates.sorted_set("primary_genre").alias("genres_worked_in"),
-            F.min("release_year").alias("first_release_year"),
-            F.max("release_year").alias("latest_release_year"),
-            count_where(F.col("is_recent")).alias("recent_works_count"),
-        )
+    single = silver.filter((F.col("director") != UNKNOWN) & ~F.col("director").contains(","))
+    directors = single.groupBy("director", "content_type").agg(
+        _titles().alias("content_count"),
+        # The rounded score is the sort key of the ranking.
+        _score(rules).alias("avg_quality_score"),
+        F.min("release_year").alias("first_release_year"),
+        F.max("release_year").alias("latest_release_year"),
+        count_where(F.col("is_recent")).alias("recent_works_count"),
     )
     repeated = aggregates.having_at_least(directors, "content_count", rules.director_min_titles)
     spans = repeated.withColumn(
         "years_active", F.col("latest_release_year") - F.col("first_release_year")
     )
     order = [F.desc("content_count"), F.desc("avg_quality_score"), F.asc("director")]
-    return windows.top_k(
+    ranked = windows.top_k(
         spans, ["content_type"], order, rules.producer_max_rank, "rank_by_volume"
     )
+    # Genres are listed for the ranked directors only; a set cannot be combined in place.
+    genres = single.select("director", "content_type", "primary_genre").distinct()
+    return (
+        ranked.join(genres, ["director", "content_type"])
+        .groupBy(*ranked.columns)
+        .agg(aggregates.sorted_set("primary_genre").alias("genres_worked_in"))
+    )
 
 
 @dataclass(frozen=True)
@@ -302,8 +305,23 @@ GOLD_TABLES: dict[str, GoldTable] = {
 }
 
 
-def build(name: str, silver: DataFrame, rules: GoldRules = GoldRules()) -> DataFrame:
-    """A gold table with its columns in the published order."""
+def assert_unique(df: DataFrame, key: str) -> None:
+    """Raise if a key occurs twice, or is null. Copies are combined before the shuffle."""
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if not repeated.filter((F.col("n") > 1) | F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} is not unique")
+
+
+def build(
+    name: str, silver: DataFrame, rules: GoldRules = GoldRules(), verify_unique: bool = True
+) -> DataFrame:
+    """A gold table with its columns in the published order.
+
+    Titles are counted by their rows, so ids must be unique; that is verified, at the cost of a job,
+    unless the caller knows it.
+    """
+    if verify_unique:
+        assert_unique(silver, "show_id")
     columns = GOLD_COLUMNS[name]
     if name == "genre_analysis":
         columns = [c.replace("added_since_2020", f"added_since_{rules.since_year}") for c in columns]

@@ -13,10 +13,10 @@ from stratalog.config import GoldRules, SilverRules, StrictRules
 from stratalog.functions.text import all_present
 from stratalog.operators.cleanse import with_rates
 from stratalog.plans import gold, silver
+from stratalog.session import scratch_path
 from stratalog.sources import catalogue, readers, sinks
 
 
-
 def bronze_to_silver(
     bronze: DataFrame,
     silver_path: str,
@@ -25,6 +25,8 @@ def bronze_to_silver(
 ) -> DataFrame:
     """Write silver, and the rejects if there are any; return the one-row quality report.
 
+    Without rejects their folder is removed, so a clean run leaves none of an earlier one.
+
     Counts are taken from the tables: one scan of the required columns for the input, and the
     Parquet footers for the output. Unlike counters kept while writing, they stay right when tasks
     are repeated after a lost executor.
@@ -37,6 +39,8 @@ def bronze_to_silver(
     ).first()
     if counts.initial_count > counts.valid_count:
         sinks.write_parquet(silver.rejected(bronze, rules), rejected_path)
+    else:
+        sinks.remove(spark, rejected_path)
     final = readers.read_parquet(spark, silver_path).agg(F.count(F.lit(1)).alias("final_count"))
     known = {
         "initial_count": F.lit(counts.initial_count).cast("long"),
@@ -52,17 +56,36 @@ def csv_to_silver(
     rejected_path: str,
     rules: SilverRules = SilverRules(),
     landing_path: str | None = None,
+    multi_line: bool = True,
+) -> DataFrame:
+    """:func:`bronze_to_silver` from CSV, parsed once (see :func:`landed`)."""
+    bronze = landed(spark, source, landing_path, multi_line)
+    return bronze_to_silver(bronze, silver_path, rejected_path, rules)
+
+
+def landed(
+    spark: SparkSession, source: str, landing_path: str | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """:func:`bronze_to_silver` from CSV.
+    """CSV parsed once and kept as Parquet, in ``landing_path`` or the shared scratch folder.
 
-    With ``landing_path`` the text is parsed once and kept as Parquet, which the later scans read;
-    worth it for large files.
+    Fields with line breaks need ``multi_line``, and then one task parses one file: give many files.
+    Without it Spark splits them.
     """
-    bronze = readers.read_csv(spark, source)
-    if landing_path:
-        sinks.write_parquet(bronze, landing_path)
-        bronze = readers.read_parquet(spark, landing_path)
-    return bronze_to_silver(bronze, silver_path, rejected_path, rules)
+    target = landing_path or scratch_path(spark, "landing")
+    sinks.write_parquet(readers.read_csv(spark, source, multi_line=multi_line), target)
+    return readers.read_parquet(spark, target)
+
+
+def strict_csv_to_silver(
+    spark: SparkSession,
+    source: str,
+    silver_path: str,
+    rules: StrictRules = StrictRules(),
+    landing_path: str | None = None,
+    multi_line: bool = True,
+) -> None:
+    """:func:`strict_to_silver` from CSV, parsed once."""
+    strict_to_silver(landed(spark, source, landing_path, multi_line), silver_path, rules)
 
 
 def strict_to_silver(
@@ -71,13 +94,6 @@ def strict_to_silver(
     sinks.write_partitioned(silver.strict_silver(bronze, rules), silver_path, "content_type")
 
 
-def assert_unique(df: DataFrame, key: str) -> None:
-    """Raise if a key occurs twice, or is null. Copies are combined before the shuffle."""
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    if not repeated.filter((F.col("n") > 1) | F.col(key).isNull()).isEmpty():
-        raise ValueError(f"{key} is not unique")
-
-
 @dataclass
 class GoldRun:
     """Outcome of a gold run: the tables written and the errors of those that failed."""
@@ -107,7 +123,7 @@ def silver_to_gold(
     """
     table = readers.read_parquet(spark, silver_path)
     if verify_unique:
-        assert_unique(table, "show_id")
+        gold.assert_unique(table, "show_id")
     # Wide texts which no gold table reads stay out of the cache.
     if cache:
         table = table.drop("description", "genre", "country", "cast_and_crew", "duration").persist()
@@ -116,7 +132,7 @@ def silver_to_gold(
         for name in tables or gold.GOLD_TABLES:
             target = f"{gold_path.rstrip('/')}/{name}"
             try:
-                result = gold.build(name, table, rules)
+                result = gold.build(name, table, rules, verify_unique=False)
                 if name == "content_overview":
                     sinks.write_single_file(result, target)
                 else:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalog.config import GoldRules, SilverRules
 from stratalog.plans import gold as gold_plans
 from stratalog.plans import silver as silver_plans
+from stratalog.session import scratch_path
+from stratalog.sources import catalogue, sinks
 from stratalog.sources.derived import bronze_catalogue, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +54,46 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver_plans.silver(bronze(spark, sf_dir), SILVER_RULES)
 
 
+class Store:
+    """Silver and gold of one data folder as tables of a database, each written when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.database = f"stratalog_{uuid.uuid4().hex}"
+        self.root = scratch_path(spark, "layers")
+        self.written: set[str] = set()
+
+    def silver(self) -> DataFrame:
+        if "silver" not in self.written:
+            sinks.write_partitioned(silver(self.spark, self.sf_dir), f"{self.root}/silver")
+            catalogue.register_table(self.spark, self.database, "silver", f"{self.root}/silver", partitioned=True)
+            self.written.add("silver")
+        return catalogue.read_table(self.spark, self.database, "silver")
+
+    def gold(self, names: Iterable[str]) -> dict[str, DataFrame]:
+        for name in names:
+            if name not in self.written:
+                table_ = gold_plans.build(name, self.silver(), GOLD_RULES, verify_unique=False)
+                sinks.write_parquet(table_, f"{self.root}/{name}")
+                catalogue.register_table(self.spark, self.database, name, f"{self.root}/{name}")
+                self.written.add(name)
+        return catalogue.load_gold(self.spark, self.database, names)
+
+
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The store of a data folder in this application; another folder has another one."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = Store(spark, sf_dir)
+    return _STORES[key]
+
+
 def gold(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return gold_plans.build(name, silver(spark, sf_dir), GOLD_RULES)
+    """A gold table built from stored silver, whose ids are unique."""
+    return gold_plans.build(name, store(spark, sf_dir).silver(), GOLD_RULES, verify_unique=False)
 
 
 def on_bronze(plan: Callable[[DataFrame], DataFrame]) -> Query:
@@ -64,7 +105,8 @@ def on_silver(plan: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def on_gold(name: str, plan: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: plan(gold(spark, sf_dir, name))
+    """A query on the stored gold table, as reports read it."""
+    return lambda spark, sf_dir: plan(store(spark, sf_dir).gold([name])[name])
 
 
 # ---------------------------------------------------------------------------- SQL of the layers
@@ -139,6 +181,10 @@ bronze AS (
   SELECT * EXCLUDE (k) FROM single_titles
   UNION ALL
   SELECT * EXCLUDE (k) FROM single_titles WHERE k % 61 = 0
+  UNION ALL
+  SELECT * EXCLUDE (k) REPLACE (title || ' (again)' AS title, 'R' AS rating,
+    release_year - 1 AS release_year)
+  FROM single_titles WHERE k % 61 = 0
 )"""
 
 
@@ -153,7 +199,8 @@ valid AS (
   SELECT * FROM bronze
   WHERE NOT {_BLANK.format("show_id")} AND NOT {_BLANK.format("title")}
 ),
-unique_titles AS (SELECT DISTINCT * FROM valid),
+unique_titles AS (SELECT * FROM valid QUALIFY row_number() OVER (PARTITION BY show_id
+  ORDER BY title NULLS FIRST, date_added NULLS FIRST, release_year NULLS FIRST) = 1),
 clean AS (
   SELECT show_id, trim("type") AS content_type, title,
     {_defaulted("director", "Unknown")},

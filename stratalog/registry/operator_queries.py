@@ -186,13 +186,16 @@ WHERE NOT coalesce(trim(show_id) <> '' AND trim(title) <> '', FALSE)""",
 )
 _bronze(
     "c02_dedupe_by_key",
-    lambda df: cleanse.dedupe(cleanse.valid_rows(df, REQUIRED), ["show_id"]),
-    f"SELECT DISTINCT * FROM ({_VALID_SQL})",
+    lambda df: cleanse.dedupe(
+        cleanse.valid_rows(df, REQUIRED), ["show_id"], [F.col(c) for c in SILVER_RULES.dedupe_order]
+    ),
+    f"""SELECT * FROM ({_VALID_SQL}) QUALIFY row_number() OVER (PARTITION BY show_id
+  ORDER BY title NULLS FIRST, date_added NULLS FIRST, release_year NULLS FIRST) = 1""",
 )
 register(
     "c02_latest_event_per_user",
     lambda spark, sf_dir: cleanse.dedupe(
-        table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]
+        table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], total=True
     ).select("user_id", "event_id", "event_type"),
     """SELECT user_id, event_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
@@ -409,7 +412,7 @@ FROM (SELECT count(*) AS initial_count,
   FROM bronze)""",
 )
 # Blank keys are kept by this profile; the order says which of their rows.
-_STRICT = StrictRules(processed_at="2026-02-09 12:00:00", dedupe_order=("title",))
+_STRICT = StrictRules(processed_at="2026-02-09 12:00:00")
 _bronze(
     "c23_strict_profile",
     lambda df: silver_plans.strict_silver(df, _STRICT).drop("processed_timestamp"),
@@ -431,7 +434,8 @@ _bronze(
     AS description_length,
   DATE '2026-02-09' AS processing_date
 FROM (SELECT * FROM bronze WHERE show_id IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY show_id ORDER BY title NULLS FIRST) = 1)
+  QUALIFY row_number() OVER (PARTITION BY show_id ORDER BY title NULLS FIRST, date_added NULLS FIRST,
+    release_year NULLS FIRST) = 1)
 WHERE title IS NOT NULL""",
 )
 
@@ -558,9 +562,11 @@ GROUP BY 1""",
 )
 _bronze(
     "e06_conditional_distinct",
-    lambda df: df.groupBy("rating").agg(
-        aggregates.distinct_where("show_id", F.col("type") == MOVIE).alias("movies"),
-        aggregates.distinct_where("show_id", F.trim("type") == TV_SHOW).alias("series"),
+    lambda df: aggregates.distinct_where(
+        df,
+        ["rating"],
+        "show_id",
+        {"movies": F.col("type") == MOVIE, "series": F.trim("type") == TV_SHOW},
     ),
     """SELECT rating, count(DISTINCT show_id) FILTER (WHERE "type" = 'Movie') AS movies,
   count(DISTINCT show_id) FILTER (WHERE trim("type") = 'TV Show') AS series
@@ -1050,8 +1056,9 @@ _REJECTED_SQL = (
     "SELECT * FROM bronze WHERE NOT coalesce(trim(show_id) <> '' AND trim(title) <> '', FALSE)"
 )
 _bronze(
+    # One side is a filter of the other, so the filter says it all; see the customers for a difference.
     "h1_difference",
-    lambda df: sets.difference(df, cleanse.valid_rows(df, REQUIRED)),
+    lambda df: silver_plans.rejected(df, SilverRules(distinct_rejects=True)).select(*df.columns),
     f"SELECT DISTINCT * FROM ({_REJECTED_SQL})",
 )
 _bronze(

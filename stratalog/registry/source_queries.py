@@ -23,6 +23,7 @@ from stratalog.registry.base import (
     gold,
     register,
     silver,
+    store,
     sql_on_bronze,
     sql_on_gold,
     sql_on_silver,
@@ -34,7 +35,7 @@ from stratalog.sources import catalogue, readers, sinks
 def _csv_explicit(spark, sf_dir):
     path = scratch_path(spark, "csv")
     quoted = F.concat(F.lit('He said "'), "title", F.lit('", then\nleft'))
-    rows = valid_rows(bronze(spark, sf_dir), SILVER_RULES.required).withColumn("title", quoted)
+    rows = bronze(spark, sf_dir).withColumn("title", quoted)
     sinks.export_csv(rows, path)
     return readers.read_csv(spark, path)
 
@@ -46,15 +47,14 @@ register(
         # An empty field is read as null.
         """SELECT * REPLACE ('He said "' || title || '", then' || chr(10) || 'left' AS title,
   nullif(description, '') AS description)
-FROM bronze WHERE trim(show_id) <> '' AND trim(title) <> ''"""
+FROM bronze"""
     ),
 )
 
 
 def _csv_inferred(spark, sf_dir):
     path = scratch_path(spark, "csv")
-    columns = ["title", "release_year", "duration", "rating"]
-    sinks.export_csv(bronze(spark, sf_dir).select(*columns), path)
+    sinks.export_csv(bronze(spark, sf_dir), path)
     return readers.read_csv_inferred(spark, path, null_tokens=PANDAS_NULL_TOKENS)
 
 
@@ -62,7 +62,8 @@ register(
     "a2_csv_inferred_schema",
     _csv_inferred,
     sql_on_bronze(
-        """SELECT nullif(title, '') AS title, release_year, nullif(duration, 'n/a') AS duration, rating
+        """SELECT * REPLACE (nullif(title, '') AS title, nullif(duration, 'n/a') AS duration,
+  nullif(description, '') AS description)
 FROM bronze"""
     ),
 )
@@ -119,20 +120,27 @@ register(
 
 
 def _conditional_sink(spark, sf_dir):
-    path = scratch_path(spark, "rejected")
-    rejects = silver_plans.rejected(bronze(spark, sf_dir), SILVER_RULES)
-    written = sinks.write_if_any(rejects, path)
-    source = readers.read_parquet(spark, path) if written else rejects
-    return source.groupBy("rejection_reason").agg(F.count(F.lit(1)).alias("rejected"))
+    """A run with rejects, and the same job on the valid rows, which must leave none behind."""
+    paths = {run: scratch_path(spark, "rejected") for run in ("first", "clean")}
+    every = bronze(spark, sf_dir)
+    runs = {"first": [every], "clean": [every, valid_rows(every, SILVER_RULES.required)]}
+    counts = []
+    for run, inputs in runs.items():
+        for source in inputs:
+            rejects = silver_plans.rejected(source, SILVER_RULES)
+            written = sinks.write_if_any(rejects, paths[run])
+        left = readers.read_parquet(spark, paths[run]) if written else rejects.limit(0)
+        counts.append(left.agg(F.lit(run).alias("run"), F.count("rejection_reason").alias("rejected")))
+    return counts[0].union(counts[1])
 
 
 register(
     "a7_conditional_sink",
     _conditional_sink,
     sql_on_bronze(
-        """SELECT 'Missing required fields: show_id or title' AS rejection_reason,
-  count(*) AS rejected FROM bronze
-WHERE NOT coalesce(trim(show_id) <> '' AND trim(title) <> '', FALSE)"""
+        """SELECT 'first' AS run, count(*) AS rejected FROM bronze
+WHERE NOT coalesce(trim(show_id) <> '' AND trim(title) <> '', FALSE)
+UNION ALL SELECT 'clean', 0"""
     ),
 )
 
@@ -140,9 +148,8 @@ WHERE NOT coalesce(trim(show_id) <> '' AND trim(title) <> '', FALSE)"""
 def _exported_report(spark, sf_dir):
     path = scratch_path(spark, "export")
     sinks.export_csv(gold(spark, sf_dir, "top_producers"), path)
-    return readers.read_csv_inferred(spark, path).select(
-        "director", "content_type", F.col("content_count").cast("long"), "genres_worked_in"
-    )
+    longs = ["content_count", "recent_works_count"]  # inferred as int
+    return readers.read_csv_inferred(spark, path).withColumns({c: F.col(c).cast("long") for c in longs})
 
 
 register(
@@ -150,8 +157,8 @@ register(
     _exported_report,
     sql_on_gold(
         "top_producers",
-        """SELECT director, content_type, content_count,
-  '[' || array_to_string(genres_worked_in, ', ') || ']' AS genres_worked_in FROM top_producers""",
+        """SELECT * REPLACE ('[' || array_to_string(genres_worked_in, ', ') || ']' AS genres_worked_in)
+FROM top_producers""",
     ),
 )
 
@@ -204,15 +211,9 @@ _ROW_COUNTS = sql_on_gold(
 
 
 def _gold_bundle(spark, sf_dir):
-    path = _written_silver(spark, sf_dir)
-    catalogue.register_views(
-        {
-            name: gold_plans.build(name, readers.read_parquet(spark, path), GOLD_RULES)
-            for name in _TABLES
-        },
-        prefix="a11_",
-    )
-    bundle = {name: spark.table(f"a11_{name}") for name in _TABLES}
+    stored = store(spark, sf_dir)
+    stored.gold(_TABLES)
+    bundle = catalogue.load_gold(spark, stored.database)
     counts = [
         df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
         for name, df in bundle.items()
@@ -296,12 +297,19 @@ register(
 
 
 def _all_layers(spark, sf_dir):
-    root = scratch_path(spark, "job")
-    report, run = jobs.run_all(
-        spark, bronze(spark, sf_dir), root, silver_rules=SILVER_RULES, gold_rules=GOLD_RULES
-    )
+    """All layers under a database of their own; the report must agree with what it holds."""
+    root, database = scratch_path(spark, "job"), f"layers_{uuid.uuid4().hex}"
+    report, run = jobs.run_all(spark, bronze(spark, sf_dir), root, database, SILVER_RULES, GOLD_RULES)
     if run.failed:
         raise next(iter(run.failed.values()))
+    try:
+        titles = catalogue.query(spark, "SELECT count(*) AS n FROM silver", database).first().n
+        bundle = catalogue.load_gold(spark, database)
+        counted = bundle["content_overview"].first().total_content_count
+        if not titles == counted == report.first().final_count or any(t.isEmpty() for t in bundle.values()):
+            raise AssertionError("the registered layers disagree with the report")
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
     return report
 
 

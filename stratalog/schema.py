@@ -1,4 +1,7 @@
-"""Table schemas of the three layers."""
+"""Table schemas of the three layers.
+
+Fixed values: names and types must equal those of the published tables.
+"""
 
 from __future__ import annotations
 

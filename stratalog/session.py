@@ -14,15 +14,22 @@ MAX_SHUFFLE_PARTITIONS = 50_000
 MAX_SCAN_TASKS = 100_000
 
 
-def sizing(input_bytes: int) -> dict[str, str]:
+def sizing(
+    input_bytes: int,
+    partition_bytes: int = SHUFFLE_PARTITION_BYTES,
+    max_shuffle_partitions: int = MAX_SHUFFLE_PARTITIONS,
+    max_scan_tasks: int = MAX_SCAN_TASKS,
+) -> dict[str, str]:
     """Scan and shuffle settings for an input of that size.
 
     Deduplication shuffles whole rows, so partitions must fit a task that sorts and spills. A shuffle
-    has scan tasks times partitions blocks; both are capped, and grow in size beyond the caps.
-    Adaptive execution merges what turns out small, but never splits what was planned too large.
+    has scan tasks times partitions blocks, which the two limits bound: 12 TB is where partitions of
+    ``partition_bytes`` reach the default limit and begin to grow, to 2 GB at 100 TB. Raise it where
+    the shuffle service bears more blocks. Adaptive execution merges what turns out small, but never
+    splits what was planned too large.
     """
-    partitions = min(max(-(-input_bytes // SHUFFLE_PARTITION_BYTES), 200), MAX_SHUFFLE_PARTITIONS)
-    split = max(128 * MIB, -(-input_bytes // MAX_SCAN_TASKS))
+    partitions = min(max(-(-input_bytes // partition_bytes), 200), max_shuffle_partitions)
+    split = max(128 * MIB, -(-input_bytes // max_scan_tasks))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(split),

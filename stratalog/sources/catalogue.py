@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +49,8 @@ def query(spark: SparkSession, sql: str, database: str | None = None) -> DataFra
         spark.catalog.setCurrentDatabase(previous)
 
 
-def load_gold(spark: SparkSession, database: str) -> dict[str, DataFrame]:
-    """All gold tables by name; nothing is read before an action."""
-    return {name: read_table(spark, database, name) for name in GOLD_TABLES}
+def load_gold(
+    spark: SparkSession, database: str, names: Iterable[str] = GOLD_TABLES
+) -> dict[str, DataFrame]:
+    """Gold tables by name, all or some; nothing is read before an action."""
+    return {name: read_table(spark, database, name) for name in names}

@@ -36,7 +36,13 @@ TITLE_RULES = {
         ELSE 'Genre ' || ((k % 23) * (k % 23) % 23) || ', Other' END""",
     "description": "CASE WHEN k % 5 = 0 THEN '' ELSE 'About ' || o_orderpriority END",
 }
-COPIES = "explode(CASE WHEN k % 61 = 0 THEN array(1, 2) ELSE array(1) END) AS copy"
+# Copy 2 repeats the title, copy 3 contradicts it.
+COPIES = "explode(CASE WHEN k % 61 = 0 THEN array(1, 2, 3) ELSE array(1) END) AS copy"
+CONTRADICTIONS = {
+    "title": "if(copy = 3, title || ' (again)', title)",
+    "rating": "if(copy = 3, 'R', rating)",
+    "release_year": "if(copy = 3, release_year - 1, release_year)",
+}
 # End of fixed values.
 
 
@@ -45,7 +51,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bronze_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived catalogue; every 61st title occurs twice, as an exact copy."""
+    """The derived catalogue; every 61st title has an exact copy and one that contradicts it."""
     orders = load(spark, sf_dir, "orders").withColumnsRenamed({"o_orderkey": "k", "o_orderdate": "d"})
     # Orders come first and are streamed; each other side is broadcast only if Spark finds it small.
     facts = (
@@ -54,4 +60,5 @@ def bronze_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(load(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     )
     titles = facts.selectExpr(*(f"{rule} AS `{name}`" for name, rule in TITLE_RULES.items()), COPIES)
-    return titles.select(*BRONZE_SCHEMA.names)
+    changed = titles.withColumns({name: F.expr(rule) for name, rule in CONTRADICTIONS.items()})
+    return changed.select(*BRONZE_SCHEMA.names)

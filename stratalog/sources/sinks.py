@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +27,20 @@ def write_single_file(df: DataFrame, path: str) -> None:
 
 
 def write_if_any(df: DataFrame, path: str) -> bool:
-    """Write only a table that has rows; looks for one row and does not count."""
+    """Write only a table that has rows, else remove what is there; looks for one row, does not count."""
     if df.isEmpty():
+        remove(df.sparkSession, path)
         return False
     write_parquet(df, path)
     return True
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, if there is one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def render_arrays(df: DataFrame) -> DataFrame:
     """Arrays as texts of the form ``[a, b]``; a null array stays null."""
     arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]

@@ -87,7 +87,7 @@ def test_bag_difference_with_a_hot_row(spark):
     left = spark.range(0, 25_003, 1, 4).select(F.lit("hot").alias("a"), F.lit(None).cast("int").alias("b"))
     left = left.union(spark.createDataFrame([("x", 1), ("x", 1), ("y", 2)], "a string, b int"))
     right = spark.createDataFrame([("hot", None), ("x", 1), ("z", 9)], "p string, q int")
-    got = sets.difference_all(left, right, copies_per_task=1000)
+    got = sets.difference_all(left, right)
     assert got.columns == ["a", "b"]
     counts = {(r.a, r.b): r["count"] for r in got.groupBy("a", "b").count().collect()}
     assert counts == {("hot", None): 25_002, ("x", 1): 1, ("y", 2): 1}
