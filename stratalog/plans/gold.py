@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.config import MOVIE, TV_SHOW, UNCATEGORIZED, UNKNOWN, GoldRules
@@ -245,30 +245,48 @@ def quality_scorecard(silver: DataFrame, rules: GoldRules = GoldRules()) -> Data
 
 
 def top_producers(silver: DataFrame, rules: GoldRules = GoldRules()) -> DataFrame:
-    """Single directors per type, ranked by number of titles."""
-    single = silver.filter((F.col("director") != UNKNOWN) & ~F.col("director").contains(","))
-    directors = single.groupBy("director", "content_type").agg(
-        _titles().alias("content_count"),
+    """Single directors per type, ranked by number of titles.
+
+    Titles shrink to a row per director, type and genre, and these rows get the totals of their
+    director. Sets, which cannot be combined in place, are built of the ranked directors' rows only.
+    """
+    director = ["director", "content_type"]
+    parts = (
+        silver.filter((F.col("director") != UNKNOWN) & ~F.col("director").contains(","))
+        .groupBy(*director, "primary_genre")
+        .agg(
+            _titles().alias("titles"),
+            F.sum(score_points("data_quality_score", rules.score_points)).alias("points"),
+            F.count("data_quality_score").alias("scored"),
+            F.min("release_year").alias("first_year"),
+            F.max("release_year").alias("last_year"),
+            count_where(F.col("is_recent")).alias("recent"),
+        )
+    )
+    whole = Window.partitionBy(*director)
+    possible = F.sum("scored").over(whole) * float(rules.score_points)
+    score = F.try_divide(F.sum("points").over(whole).cast("double"), possible)
+    directors = parts.select(
+        *director,
+        "primary_genre",
+        F.sum("titles").over(whole).alias("content_count"),
         # The rounded score is the sort key of the ranking.
-        _score(rules).alias("avg_quality_score"),
-        F.min("release_year").alias("first_release_year"),
-        F.max("release_year").alias("latest_release_year"),
-        count_where(F.col("is_recent")).alias("recent_works_count"),
+        F.round(score, SCORE_PLACES).alias("avg_quality_score"),
+        F.min("first_year").over(whole).alias("first_release_year"),
+        F.max("last_year").over(whole).alias("latest_release_year"),
+        F.sum("recent").over(whole).alias("recent_works_count"),
     )
     repeated = aggregates.having_at_least(directors, "content_count", rules.director_min_titles)
-    spans = repeated.withColumn(
-        "years_active", F.col("latest_release_year") - F.col("first_release_year")
-    )
     order = [F.desc("content_count"), F.desc("avg_quality_score"), F.asc("director")]
-    ranked = windows.top_k(
-        spans, ["content_type"], order, rules.producer_max_rank, "rank_by_volume"
+    rank = F.dense_rank().over(Window.partitionBy("content_type").orderBy(*order))
+    ranked = repeated.withColumn("rank_by_volume", rank).filter(
+        F.col("rank_by_volume") <= rules.producer_max_rank
     )
-    # Genres are listed for the ranked directors only; a set cannot be combined in place.
-    genres = single.select("director", "content_type", "primary_genre").distinct()
+    measures = [c for c in ranked.columns if c != "primary_genre"]
     return (
-        ranked.join(genres, ["director", "content_type"])
-        .groupBy(*ranked.columns)
+        ranked.groupBy(*measures)
         .agg(aggregates.sorted_set("primary_genre").alias("genres_worked_in"))
+        .withColumn("years_active", F.col("latest_release_year") - F.col("first_release_year"))
     )
 
 

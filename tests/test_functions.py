@@ -145,3 +145,23 @@ def test_guarded_percent_of_zero(spark):
 def test_weighted_mean_skips_null(spark):
     df = spark.createDataFrame([(1.0, 1), (0.5, 3), (None, 100)], "s double, n int")
     assert df.agg(measures.weighted_mean("s", "n", 3)).first()[0] == 0.625
+
+
+def test_sums_beyond_a_bigint(spark):
+    df = spark.createDataFrame([(9.0e15, 3)] * 3000, "v double, n long")
+    out = df.agg(measures.exact_sum("v", 2), measures.exact_mean("v", 2), measures.weighted_mean("v", "n", 2)).first()
+    assert out[0] == pytest.approx(2.7e19) and out[1] == out[2] == 9.0e15
+
+
+@pytest.mark.parametrize("value", [0.5, 0.75])
+def test_scores_between_points_are_refused(spark, value):
+    df = spark.createDataFrame([(value,)], "s double")
+    with pytest.raises(Exception, match="no whole number of 5 points"):
+        df.agg(measures.mean_score("s", 5)).collect()
+    assert df.agg(measures.mean_score("s", 4)).first()[0] == value
+
+
+def test_decimals_beyond_the_step_are_refused(spark):
+    df = spark.createDataFrame([(1.234,)], "v double")
+    with pytest.raises(Exception, match="more than 2 decimals"):
+        df.agg(measures.exact_mean("v", 2)).collect()

@@ -196,3 +196,12 @@ def test_report_order(tables):
     for name, key in (("genre_analysis", "content_count"), ("rating_distribution", "content_count")):
         counts = [r[key] for r in gold.in_report_order(name, tables[name]).collect()]
         assert counts == sorted(counts, reverse=True)
+
+
+def test_repeated_ids_are_refused(silver):
+    with pytest.raises(ValueError, match="not unique"):
+        gold.build("content_overview", silver.union(silver))
+
+
+def test_declared_order_picks_the_first_of_contradicting_rows(silver):
+    assert silver.where("title LIKE '%(again)' AND title NOT LIKE ' (again)'").count() == 0

@@ -225,3 +225,23 @@ def test_row_filters(spark):
     assert rows.with_literals(df, {"c": "x", "d": 1}).first()["c"] == "x"
     assert rows.relabel(df, ["S", "Count #"]).columns == ["S", "Count #"]
     assert rows.drop(df, ["s"]).columns == ["n"]
+
+
+def test_pivot_takes_all_values_or_refuses(spark):
+    df = spark.createDataFrame([(1, 1994, 2), (1, 1995, 3), (2, 2003, 4)], "m int, y int, n int")
+    rows = {r.m: (r["1994"], r["1995"], r["2003"]) for r in reshape.pivot_sum(df, ["m"], "y", "n").collect()}
+    assert rows == {1: (2, 3, 0), 2: (0, 0, 4)}
+    with pytest.raises(Exception, match="not listed: 2003"):
+        reshape.pivot_sum(df, ["m"], "y", "n", [1994, 1995]).collect()
+
+
+def test_transpose_refuses_unlisted_keys(spark):
+    df = spark.createDataFrame([("Movie", 1.0), ("Short", 2.0)], "t string, v double")
+    with pytest.raises(Exception, match="not listed: Short"):
+        reshape.transpose(df, "t", {"v": "Value"}, "field", ["Movie"]).collect()
+
+
+def test_conditional_distinct(spark):
+    df = spark.createDataFrame([("a", 1, True), ("a", 1, None), ("a", 2, False), ("b", None, True)], "g string, k int, c boolean")
+    out = aggregates.distinct_where(df, ["g"], "k", {"n": F.col("c"), "m": ~F.col("c")})
+    assert {r.g: (r.n, r.m) for r in out.collect()} == {"a": (1, 1), "b": (0, 0)}

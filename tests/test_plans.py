@@ -5,6 +5,9 @@ import re
 import pytest
 
 from conftest import SF_DIR
+from pyspark.sql import functions as F
+
+from stratalog.operators import aggregates
 from stratalog.plans import gold
 from stratalog.registry import entries
 from stratalog.sources import readers, sinks
@@ -90,3 +93,27 @@ def test_sample_titles_and_ranks_are_limited_before_the_shuffle(written):
 def test_top_n_is_not_a_full_sort(spark):
     plan = physical(entries()["g4_top_orders"].run(spark, SF_DIR))
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_sets_are_built_of_ranked_directors_only(written):
+    plan = physical(gold.build("top_producers", written))
+    before, _, after = plan.partition("dense_rank")
+    assert "ObjectHashAggregate" in before  # the plan is printed from its end
+    assert "ObjectHashAggregate" not in after
+
+
+def test_conditional_distinct_does_not_repeat_rows(written):
+    counted = aggregates.distinct_where(
+        written, ["rating"], "show_id", {"a": F.col("has_cast"), "b": F.col("has_director")}
+    )
+    assert "Expand" not in physical(counted)
+
+
+def test_rejects_are_a_filter(bronze):
+    plan = physical(entries()["h1_difference"].run(bronze.sparkSession, SF_DIR))
+    assert "LeftAnti" not in plan
+
+
+def test_total_order_reads_only_columns_in_use(spark):
+    plan = physical(entries()["c02_latest_event_per_user"].run(spark, SF_DIR))
+    assert "props" not in plan and "value" not in plan

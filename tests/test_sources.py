@@ -151,3 +151,35 @@ def test_sizing_grows_with_the_input_and_is_capped():
     assert (small[key], small[split]) == ("200", str(128 * 1024 * 1024))
     assert int(large[key]) == 3726
     assert int(huge[key]) == 50_000 and int(huge[split]) == 10**9
+
+
+def test_large_order_keys(spark):
+    from pyspark.sql import functions as F
+
+    from stratalog.sources.derived import TITLE_RULES
+
+    keys = spark.createDataFrame([(10**12 + 1,)], "k long")
+    assert keys.select(F.expr(TITLE_RULES["listed_in"])).first()[0] == f"Genre {(10**12 + 1) ** 2 % 23}, Other"
+
+
+def test_clean_run_leaves_no_rejects(spark, bronze, tmp_path):
+    from stratalog.operators.cleanse import valid_rows
+    from stratalog.plans import jobs
+
+    silver, rejected = str(tmp_path / "silver"), tmp_path / "rejected"
+    jobs.bronze_to_silver(bronze, silver, str(rejected))
+    assert rejected.exists()
+    jobs.bronze_to_silver(valid_rows(bronze, ("show_id", "title")), silver, str(rejected))
+    assert not rejected.exists()
+
+
+def test_csv_jobs_split_files_and_parse_once(spark, bronze, tmp_path):
+    from stratalog.plans import jobs
+    from stratalog.sources import readers, sinks
+
+    source, out = str(tmp_path / "csv"), str(tmp_path / "out")
+    sinks.export_csv(bronze.coalesce(1), source)
+    report = jobs.csv_to_silver(spark, source, out, str(tmp_path / "bad"), landing_path=str(tmp_path / "land"), multi_line=False)
+    assert report.first().initial_count == bronze.count() == readers.read_parquet(spark, str(tmp_path / "land")).count()
+    jobs.strict_csv_to_silver(spark, source, str(tmp_path / "strict"), multi_line=False)
+    assert readers.read_parquet(spark, str(tmp_path / "strict")).count() > 0
