@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -114,9 +115,13 @@ def silver_to_gold(
     cache: bool = False,
     verify_unique: bool = True,
     raise_errors: bool = False,
+    at_once: int = 3,
 ) -> GoldRun:
     """Write the gold tables; a failing table does not stop the others.
 
+    The tables do not depend on each other, so ``at_once`` of them are written at the same time and the
+    tail of one job does not leave the cluster idle.
+
     Each table scans only the silver columns that it needs. ``cache`` keeps those needed by any of
     them in executor memory and disk instead; it pays off where silver is small or slow to read,
     and gives up folder skipping and filters in the scan.
@@ -127,20 +132,26 @@ def silver_to_gold(
     # Wide texts which no gold table reads stay out of the cache.
     if cache:
         table = table.drop("description", "genre", "country", "cast_and_crew", "duration").persist()
+
+    def write(name: str) -> None:
+        target = f"{gold_path.rstrip('/')}/{name}"
+        result = gold.build(name, table, rules, verify_unique=False)
+        if name == "content_overview":
+            sinks.write_single_file(result, target)
+        else:
+            sinks.write_parquet(result, target)
+
     run = GoldRun()
     try:
-        for name in tables or gold.GOLD_TABLES:
-            target = f"{gold_path.rstrip('/')}/{name}"
-            try:
-                result = gold.build(name, table, rules, verify_unique=False)
-                if name == "content_overview":
-                    sinks.write_single_file(result, target)
-                else:
-                    sinks.write_parquet(result, target)
+        with ThreadPoolExecutor(at_once) as pool:
+            writes = {name: pool.submit(write, name) for name in tables or gold.GOLD_TABLES}
+        for name, done in writes.items():
+            error = done.exception()
+            if error is None:
                 run.created.append(name)
-            except Exception as error:  # noqa: BLE001 - isolation of tables is the feature
-                if raise_errors:
-                    raise
+            elif raise_errors:
+                raise error
+            else:
                 run.failed[name] = error
     finally:
         if cache:
