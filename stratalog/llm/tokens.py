@@ -39,7 +39,7 @@ def safe_pieces(text: str, most: int) -> list[str]:
     """``text`` in pieces of about ``most`` characters; longer where no safe boundary is near."""
     pieces, start = [], 0
     while len(text) - start > most:
-        cut = _SAFE.search(text, start + most - 1)
+        cut = _SAFE.search(text, start + max(most - 1, 1))
         if cut is None:
             break
         pieces.append(text[start : cut.start()])
