@@ -24,8 +24,7 @@ def interleaved(
     The law is ``rows``; ``grown_shard`` is null, as it belongs to another law. Null sources form one
     source, null texts have no bytes. Equal texts are spread like any rows: a group may be larger than
     a shard. Rows that repeat an id get slots of their own. Only ids, sizes and ranks are shuffled. A
-    source of one row gets a place of its own by its hash, so many such sources do not meet in one
-    place. With fewer rows than shards the last shards stay empty.
+    source of one row has a place of its own, so many such sources do not meet in one place. With fewer rows than shards the last shards stay empty.
     """
     buckets = 4 * shuffle_partitions(docs.sparkSession)
     content = F.coalesce(F.col(text), F.lit(""))
@@ -44,14 +43,24 @@ def interleaved(
     rows = rows.withColumn("_part", F.floor(F.col("_draw") * buckets / F.lit(float(1 << 32))).cast("int"))
     order = [F.col("_draw"), F.col("doc_id").asc_nulls_last(), F.col("text_crc32")]
     in_source = ranked(rows, ["_group", "_none"], "_part", order, "_rank")
-    sizes = rows.groupBy("_group", "_none").agg(F.count(F.lit(1)).alias("_size")).toDF("_g", "_n", "_size")
-    start = F.pmod(F.xxhash64(F.lit(seed + 1), "_group", "_none"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # Sources start at places of their own, evenly spread over one step of their ranks.
+    sizes = (
+        rows.groupBy(F.col("_group").alias("_g"), F.col("_none").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .withColumn("_lot", F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "_g", "_n"), 32))
+        .withColumn("_bin", F.floor(F.col("_lot") * buckets / F.lit(float(1 << 32))).cast("int"))
+        .withColumn("_one", F.lit(0))
+    )
+    sources = sizes.groupBy().agg(F.count(F.lit(1)).alias("_sources"))
+    starts = ranked(sizes, ["_one"], "_bin", [F.col("_lot"), F.col("_g"), F.col("_n")], "_start").join(
+        F.broadcast(sources)  # one row
+    )
     placed = (
-        in_source.join(sizes, (F.col("_group") == F.col("_g")) & (F.col("_none") == F.col("_n")))
-        .withColumn("_fraction", (F.col("_rank") + start) / F.col("_size"))
+        in_source.join(starts, (F.col("_group") == F.col("_g")) & (F.col("_none") == F.col("_n")))
+        .withColumn("_fraction", (F.col("_rank") + (F.col("_start") + 0.5) / F.col("_sources")) / F.col("_size"))
         .withColumn("_all", F.lit(0))
         .withColumn("_range", F.floor(F.col("_fraction") * buckets).cast("int"))
-        .drop("_g", "_n", "_draw", "_part")
+        .select(*[c for c in in_source.columns if c not in ("_draw", "_part")], "_fraction", "_all", "_range")
     )
     place = [F.col("_fraction"), F.col("_group"), F.col("_none"), F.col("_rank")]
     total = rows.groupBy().agg(F.count(F.lit(1)).alias("_total"))
