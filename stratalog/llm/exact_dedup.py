@@ -192,8 +192,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .join(repeated, "fingerprint")  # as these are distinct; a semi-join would move ahead of the filter
     )
     best = F.max(F.struct("chars", F.col("doc_id").isNotNull().alias("known"), -F.col("doc_id")))
-    groups = claimed.groupBy("plain").agg(
-        best.alias("best"), F.count(F.lit(1)).alias("group_size")
+    # Written, so that the join below starts from two shuffles and a hot text can be split there.
+    groups = written(
+        claimed.groupBy("plain").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "exact-groups"
     )
     verified = claimed.select("doc_id", "plain").join(groups, "plain").select(
         "doc_id",
