@@ -30,7 +30,7 @@ from stratalog.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 24, 5  # a pair at 0.85 is missed with probability (1 - 0.85^5)^24, under one in a million
 PERCENT = 85
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -364,10 +364,11 @@ def near_groups(
         "node", "n_shingles", F.explode("bands").alias("bucket")
     )
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("last"))
+    # Written, so that the join starts from two shuffles and a hot bucket can be split there.
+    shared, shared_path = written(shared.where("low < last").drop("last"), "near-buckets", with_path=True)
     # Only the rows of buckets with several sets matter from here on.
-    crowded, crowded_path = written(
-        banded.join(shared.where("low < last").drop("last"), "bucket"), "near-crowded", with_path=True
-    )
+    crowded, crowded_path = written(banded.join(shared, "bucket"), "near-crowded", with_path=True)
+    discard(spark, shared_path)
     star = crowded.where("node > low").select("low", F.col("node").alias("high")).distinct()
     links = verified_links(star, rows, percent)
     parts = written(components(links), "near-parts")
