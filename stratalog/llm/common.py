@@ -68,27 +68,50 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def members_first(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in the one column of ``keys``, before a semi-join settles it.
+def _bitmaps(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """A bit array of the hashes of ``keys`` in blocks, the condition that joins them to the rows of ``df``,
+    and whether a row's bit is set.
 
-    ``keys`` become a bit array of 16 bits each, ``MAX_FILTER_BITS`` at most, which is the proven bound
-    of what is broadcast. Rows of wide text are dropped here, ahead of the shuffle of the semi-join.
-    Beyond the bound more rows pass, never fewer. Null keys are treated as a value.
+    It has about 16 bits for each key and ``MAX_FILTER_BITS`` at most, which is the proven bound of what is
+    broadcast; beyond it more rows are taken for members, never fewer. Null keys are treated as a value.
     """
-    count = keys.count()
-    bits = min(MAX_FILTER_BITS, max(_BITMAP_BITS, 1 << math.ceil(math.log2(16 * count + 1))))
+    bits = min(MAX_FILTER_BITS, max(_BITMAP_BITS, 1 << math.ceil(math.log2(16 * keys.count() + 1))))
     place = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(bits))
     member = keys.select(F.col(keys.columns[0]).alias(key)).select(place.alias("_place"))
     bitmaps = member.groupBy(F.floor(F.col("_place") / _BITMAP_BITS).alias("_block")).agg(
         F.bitmap_construct_agg(F.col("_place") % _BITMAP_BITS).alias("_bitmap")
     )
+    bitmaps = bitmaps.toDF(free_name(df, "_block"), free_name(df, "_bitmap"))
+    block, bitmap = (F.col(c) for c in bitmaps.columns)
     at = (place % _BITMAP_BITS).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    return (
-        df.join(F.broadcast(bitmaps), F.floor(place / _BITMAP_BITS) == F.col("_block"))
-        .where(F.getbit(byte.cast("int"), at % 8) == 1)
-        .select(*[df[c] for c in df.columns])
-    )
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return F.broadcast(bitmaps), F.floor(place / _BITMAP_BITS) == block, F.getbit(byte.cast("int"), at % 8) == 1
+
+
+def members_first(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in the one column of ``keys``, before a join settles it.
+
+    Rows of wide text are dropped here, ahead of the shuffle of that join. It must not be a semi-join, which
+    Spark would move ahead of this filter.
+    """
+    bitmaps, same_block, hit = _bitmaps(df, key, keys)
+    return df.join(bitmaps, same_block).where(hit).select(*[df[c] for c in df.columns])
+
+
+def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in the one column of ``keys``; null keys stay.
+
+    Only rows that may be in it are shuffled for the exact answer; all others pass as they are.
+    """
+    bitmaps, same_block, hit = _bitmaps(df, key, keys)
+    name, mark = free_name(df, "gone_id"), free_name(df, "_hit")
+    marked = df.join(bitmaps, same_block, "left").withColumn(mark, F.coalesce(hit, F.lit(False)))
+    columns = [df[c] for c in df.columns]
+    gone = keys.select(F.col(keys.columns[0]).alias(name)).distinct()
+    unsure = marked.where(F.col(mark)).select(*columns)
+    # Not an anti-join, which Spark would move ahead of the filter.
+    settled = unsure.join(gone, F.col(key) == F.col(name), "left").where(F.col(name).isNull()).drop(name)
+    return marked.where(~F.col(mark)).select(*columns).union(settled)
 
 
 def salt(*columns: str | Column, buckets: int) -> Column:

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from stratalog.llm.common import (
     WHITE_SPACE,
     documents,
-    free_name,
     members_first,
     ship,
     shuffle_partitions,
+    without,
     written,
 )
 
@@ -208,10 +208,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that are not kept; a repeated row stays once for each repeat."""
-    gone = exact_groups(docs, doc_id, text).where("NOT kept").select(
-        F.col("doc_id").alias(free_name(docs, "gone_id"))
-    )
-    return docs.join(gone, F.col(doc_id) == F.col(gone.columns[0]), "left_anti")
+    gone = written(exact_groups(docs, doc_id, text).where("NOT kept").select("doc_id"), "exact-gone")
+    return without(docs, doc_id, gone)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import discard, documents, free_name, members_first, ship, written
+from stratalog.llm.common import discard, documents, members_first, ship, without, written
 from stratalog.llm.components import components
 
 SHINGLE = 5
@@ -391,10 +391,8 @@ def near_groups(
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group."""
-    gone = near_groups(docs, percent, doc_id=doc_id, text=text).where("NOT kept").select(
-        F.col("doc_id").alias(free_name(docs, "gone_id"))
-    )
-    return docs.join(gone, F.col(doc_id) == F.col(gone.columns[0]), "left_anti")
+    gone = near_groups(docs, percent, doc_id=doc_id, text=text).where("NOT kept").select("doc_id")
+    return without(docs, doc_id, written(gone, "near-gone"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
