@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,6 +25,14 @@ from stratalog.llm.tokens import vocabulary_path
 
 # Fixed value: how a byte-level tokenizer of this family cuts texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same for texts up to U+024F, where the letters, numbers and white space can be spelled out.
+_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPACES = r"\t-\r \x85\xa0"
+LATIN_WORDS = (
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+    rf"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+)
 WORDS_KEPT = 300_000  # words and pairs whose result a worker remembers; both only save time
 PAIRS_KEPT = 500_000
 
@@ -35,6 +44,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def word_finder():
+    """A function from a text to its words. Latin texts take the faster of two equal ways."""
+    import regex
+
+    beyond, latin = re.compile(r"[^\x00-\u024f]").search, re.compile(LATIN_WORDS).findall
+    other = regex.compile(WORDS).findall
+    return lambda text: (latin if beyond(text) is None else other)(text)
+
+
 class PrefixEncoder:
     """Encodes and decodes by the vocabulary and merges of a tokenizer file."""
 
@@ -48,7 +66,7 @@ class PrefixEncoder:
         ids = model["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.words = regex.compile(WORDS)
+        self.words = word_finder()
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         size = max([*ids.values(), *special.values()]) + 1
@@ -128,7 +146,7 @@ class PrefixEncoder:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            words = self.words.findall(part)
+            words = self.words(part)
             if len(known) > WORDS_KEPT:
                 known.clear()
             for word in set(words).difference(known):

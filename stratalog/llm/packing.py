@@ -135,14 +135,14 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from stratalog.llm.bpe import WORDS, byte_letters
+        from stratalog.llm.bpe import byte_letters, word_finder
 
         import regex
 
         self.library = tokenizer(path)
         self.model = self.library.model
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
-        self.find = regex.compile(WORDS).findall
+        self.find = word_finder()
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = {t: array("I", [self.library.token_to_id(t)]).tobytes() for t in added}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None

@@ -76,6 +76,16 @@ def test_encoder_equals_library(text):
     assert own.decode(ids) == _LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=60))
+def test_both_ways_find_the_same_words(text):
+    import re
+
+    import regex
+
+    assert re.findall(bpe.LATIN_WORDS, text) == regex.findall(bpe.WORDS, text)
+
+
 def test_runs_of_one_letter(own, library):
     for text in ("a" * 5000, "ab" * 3000, " " * 3000 + "x", "\n" * 999, "é" * 777):
         assert own.encode(text) == ids_of(library, text)
