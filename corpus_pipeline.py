@@ -14,6 +14,9 @@ from stratalog.llm import exact_dedup, minhash, packing, quality, toxicity
 from stratalog.llm.common import documents, written
 from stratalog.sources.derived import load
 
+NEAR_PERCENT = 80  # similarity of five-word shingles from which a document is a near copy; op5 has a bar of its own
+NEAR_BANDS = 36  # a pair at 0.80 is missed with probability (1 - 0.8^5)^36, under one in a million
+
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
@@ -32,7 +35,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return minhash.drop_near_copies(docs)
+    return minhash.drop_near_copies(docs, NEAR_PERCENT, NEAR_BANDS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -389,9 +389,11 @@ def near_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """``docs`` with one document of each group."""
-    gone = near_groups(docs, percent, doc_id=doc_id, text=text).where("NOT kept").select("doc_id")
+    gone = near_groups(docs, percent, bands, doc_id=doc_id, text=text).where("NOT kept").select("doc_id")
     return without(docs, doc_id, written(gone, "near-gone"))
 
 

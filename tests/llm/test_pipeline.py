@@ -51,6 +51,23 @@ def test_copies_go(between):
     assert ids(between[4]) == sorted(r[0] for r in test_minhash.by_hand(rows) if r[3])
 
 
+def test_near_copies_at_the_bar_of_the_stage(between):
+    rows = [(r.doc_id, r.text) for r in between[3].collect()]
+    assert ids(between[4]) == sorted(r[0] for r in test_minhash.by_hand(rows, 80) if r[3])
+
+
+def test_near_copies_from_a_similarity_of_four_fifths(spark):
+    """Pairs at all similarities around the bar, against all pairs of full sets."""
+    rows = []
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(204)]  # 200 shingles
+        tail = words[: 204 - 14 - k // 2] + [f"z{k}x{i}" for i in range(14 + k // 2)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(tail))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    bars = [sorted(r[0] for r in test_minhash.by_hand(rows, percent) if r[3]) for percent in (80, 85)]
+    assert ids(corpus_pipeline.near_copies(spark, docs, SF)) == bars[0] and len(bars[0]) < len(bars[1])
+
+
 def test_packing(between, library):
     count, tokens = check_packing(between[4], library)
     assert between[5].select("sequence_id").distinct().count() == count
