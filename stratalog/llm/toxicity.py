@@ -103,6 +103,7 @@ class Voters:
         lexicon = frozenset(owners)
         heads = frozenset(t[: STEMS[0]] for t in lexicon if t[-2:-1] == "-")
         patterns = [re.compile(p) for p in PATTERNS.values()]
+        any_pattern = re.compile("|".join(PATTERNS.values()))
         base = len(numbers)
         fixed = len(LEXICONS) + len(BANDS)
 
@@ -117,7 +118,7 @@ class Voters:
             for term in hits:
                 for voter in owners[term]:
                     votes[voter] = "t"
-            if hits:
+            if any_pattern.search(lower):
                 for k, pattern in enumerate(patterns):
                     if pattern.search(lower):
                         votes[fixed + k] = "t"

@@ -86,6 +86,32 @@ def test_no_labels(spark, hard, labels):
     assert toxicity.scored(hard, toxicity.fit_toxicity(hard, none)).count() == hard.count()
 
 
+def test_a_pattern_alone_votes():
+    """Texts with a phrase and no lexicon word."""
+    voters = toxicity.Voters(())
+    read, base = voters.reader(), voters.features - voters.count
+    for text, voter in [("Oh, SHUT UP now", "threat"), ("nobody likes you", "threat"), ("you are a fool, sir", "address")]:
+        k = voters.count - len(toxicity.PATTERNS) + list(toxicity.PATTERNS).index(voter)
+        votes, features = read(text)
+        assert votes == "." * k + "t" + "." * (voters.count - k - 1) and features == [base + k]
+    assert read("shutup, you fool") == ("." * voters.count, [])
+
+
+def test_a_pattern_alone_is_toxic(spark):
+    """Half of the toxic rows have only a phrase; the words around it are those of clean rows."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(900):
+        words = [f"word{n}" for n in rng.integers(0, 50, 20)]
+        if k % 3 == 0:
+            words.insert(int(rng.integers(0, 20)), "go to hell" if k % 2 else "go to hell, you idiot")
+        rows.append((k, " ".join(words), int(k % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit_toxicity(docs.drop("toxic"), docs.where("doc_id < 500").select("doc_id", "toxic"))
+    ask = [(1, "go to hell"), (2, "word1 word2"), (3, "")]
+    score = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(ask, "doc_id bigint, text string"), model).collect()}
+    assert score[1] >= toxicity.THRESHOLD and max(score[2], score[3]) < 0.3
+
+
 # ------------------------------------------------------------------------------------- parts
 
 
