@@ -29,12 +29,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return exact_dedup.drop_copies(docs)
+    """One row of each group of equal texts stays."""
+    return exact_dedup.one_of_each(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays."""
     return minhash.drop_near_copies(docs, NEAR_PERCENT, NEAR_BANDS)
 
 

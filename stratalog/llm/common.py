@@ -114,6 +114,56 @@ def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return marked.where(~F.col(mark)).select(*columns).union(settled)
 
 
+def apart(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` is not in the one column of ``keys``, and those whose key may be.
+
+    Null keys are a value like any other. Nothing is shuffled.
+    """
+    bitmaps, same_block, hit = _bitmaps(df, key, keys)
+    mark = free_name(df, "_hit")
+    marked = df.join(bitmaps, same_block, "left").withColumn(mark, F.coalesce(hit, F.lit(False)))
+    columns = [df[c] for c in df.columns]
+    return marked.where(~F.col(mark)).select(*columns), marked.where(F.col(mark)).select(*columns)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """A hash of all columns, by which rows are put in order that nothing else tells apart."""
+    return F.sha2(F.to_json(F.struct(*df.columns)).cast("binary"), 256)
+
+
+def numbered_rows(df: DataFrame, doc_id: str, key: str) -> DataFrame:
+    """``df`` with a bigint ``key`` that no two rows share and none lacks.
+
+    It is in the order of the ids where these are known and unique. Rows whose id is null or repeats, and
+    only they, are written and numbered beyond all ids, rows without an id last; the same rows get the same
+    numbers in every run. Ids that leave no such numbers among the values of a bigint are refused.
+    """
+    spark = df.sparkSession
+    known = F.col(doc_id).cast("long")
+    repeated = df.select(known.alias("id")).groupBy("id").count().where("id IS NULL OR count > 1")
+    repeated = written(repeated.select("id"), "rows-repeated-ids")
+    keyed = df.withColumn(key, known)
+    if repeated.isEmpty():
+        return keyed
+    sure, unsure = apart(keyed, key, repeated)
+    name = free_name(keyed, "repeated_id")
+    settled = unsure.join(repeated.toDF(name), F.col(key).eqNullSafe(F.col(name)), "left")
+    other = F.col(key).isNotNull() & F.col(name).isNull()
+    group, bucket, row, rank = (free_name(keyed, n) for n in ("_all", "_salt", "_row", "_rank"))
+    many = shuffle_partitions(spark)
+    extra = settled.where(~other).select(*df.columns)
+    extra = extra.withColumn(row, whole_row(extra)).withColumn(group, F.lit(0))
+    extra = extra.withColumn(bucket, salt(row, buckets=many) + F.when(F.col(doc_id).isNull(), many).otherwise(0))
+    extra = written(ranked(extra, [group], bucket, [F.col(row)], rank), "rows-numbered")
+    most, low, high = df.agg(F.count(F.lit(1)), F.min(known), F.max(known)).first()
+    low, high = (0, -1) if low is None else (low, high)
+    down = 0 if high + most < 1 << 63 else most
+    if low - down < -(1 << 63):
+        raise ValueError("the ids leave no numbers for rows whose id is null or repeats")
+    own = sure.union(settled.where(other).select(*keyed.columns)).withColumn(key, F.col(key) - F.lit(down))
+    return own.union(extra.select(*df.columns, (F.lit(high - down + 1) + F.col(rank)).alias(key)))
+
+
 def salt(*columns: str | Column, buckets: int) -> Column:
     """Even bucket of a row by the hash of some of its columns."""
     return F.pmod(F.xxhash64(F.lit(11), *columns), F.lit(buckets))

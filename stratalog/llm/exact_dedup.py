@@ -20,13 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratalog.llm.common import (
     WHITE_SPACE,
+    apart,
     documents,
+    free_name,
     members_first,
     ship,
     shuffle_partitions,
+    whole_row,
     without,
     written,
 )
@@ -212,6 +216,25 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return without(docs, doc_id, gone)
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with exactly one row of each group of equal texts, whatever the ids are.
+
+    The row is chosen as in ``exact_groups``; of rows that agree in id and length, by a hash of all columns.
+    Only rows that may have a copy are shuffled, and of a hot text one row from each task.
+    """
+    name, place, whole = (free_name(docs, n) for n in ("fingerprint", "_place", "_whole"))
+    plain = normalised(F.col(text))
+    prints = docs.withColumn(name, F.xxhash64(plain))
+    repeated = written(repeated_fingerprints(prints.select(name)), "exact-repeated").select("fingerprint")
+    single, claimed = apart(prints, name, repeated)
+    claimed = claimed.withColumn(whole, whole_row(docs))
+    best = Window.partitionBy(plain).orderBy(
+        F.length(F.coalesce(F.col(text), F.lit(""))).desc(), F.col(doc_id).asc_nulls_last(), whole
+    )
+    first = claimed.withColumn(place, F.row_number().over(best)).where(F.col(place) == 1)
+    return single.select(*docs.columns).union(first.select(*docs.columns))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import discard, documents, members_first, ship, without, written
+from stratalog.llm.common import discard, documents, free_name, members_first, numbered_rows, ship, without, written
 from stratalog.llm.components import components
 
 SHINGLE = 5
@@ -392,9 +392,14 @@ def near_groups(
 def drop_near_copies(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``docs`` with one document of each group."""
-    gone = near_groups(docs, percent, bands, doc_id=doc_id, text=text).where("NOT kept").select("doc_id")
-    return without(docs, doc_id, written(gone, "near-gone"))
+    """``docs`` with one row of each group: the smallest id, those that are null or repeat coming last.
+
+    Each row is a document of its own here, also one without an id or with that of another row.
+    """
+    key = free_name(docs, "row_key")
+    keyed = numbered_rows(docs, doc_id, key)
+    gone = near_groups(keyed, percent, bands, doc_id=key, text=text).where("NOT kept").select("doc_id")
+    return without(keyed, key, written(gone, "near-gone")).drop(key)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Stages of the pipeline: contracts, and each against a plain version where there is one."""
 
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
@@ -68,6 +70,33 @@ def test_near_copies_from_a_similarity_of_four_fifths(spark):
     assert ids(corpus_pipeline.near_copies(spark, docs, SF)) == bars[0] and len(bars[0]) < len(bars[1])
 
 
+def test_copies_go_by_row(spark):
+    """Null ids, repeated rows, and unlike texts under one id: one row of each group, and nothing else goes."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [
+        (None, a), (None, a), (None, a + " "), (7, b), (7, b), (7, c), (8, c), (8, "alone"), (None, d), (None, None), (9, ""),
+        (20, "e " + d), (None, "f " + d), (2**63 - 1, "last"), (-5, b + " g"), (30, a + " h"), (30, "h " + a),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    exact = corpus_pipeline.exact_copies(spark, docs, SF)
+    wanted = [
+        (None, a + " "), (7, b), (7, c), (8, "alone"), (None, d), (9, ""),
+        (20, "e " + d), (None, "f " + d), (2**63 - 1, "last"), (-5, b + " g"), (30, a + " h"), (30, "h " + a),
+    ]
+    assert sorted(map(tuple, exact.collect()), key=repr) == sorted(wanted, key=repr)
+    for table in (docs, exact):
+        near = [tuple(r) for r in corpus_pipeline.near_copies(spark, table, SF).collect()]
+        kept = [test_minhash.shingles(text) for _, text in near]
+        for _, text in table.collect():
+            own = test_minhash.shingles(text)
+            same = sum(100 * len(own & k) >= 80 * len(own | k) for k in kept) if own else 1
+            assert same == 1
+        blank = [[tuple(r) for r in t if not (r[1] or "").strip()] for t in (near, table.collect())]
+        assert Counter(blank[0]) == Counter(blank[1])
+        assert (-5, b + " g") in near and (20, "e " + d) in near and (8, "alone") in near
+    assert corpus_pipeline.near_copies(spark, docs, SF).columns == docs.columns
+
+
 def test_packing(between, library):
     count, tokens = check_packing(between[4], library)
     assert between[5].select("sequence_id").distinct().count() == count
