@@ -197,15 +197,12 @@ class LabelModel:
         spread = np.sqrt(np.clip(np.diag(cover), 1e-12, None))
         return cover / np.outer(spread, spread)
 
-    def _joined(self, linked: float, largest: int = 8) -> list[tuple[int, ...]]:
-        """Groups of correlated voters, the strongest pairs first, ``largest`` voters at most."""
+    def _joined(self, linked: float) -> list[tuple[int, ...]]:
+        """Groups of correlated voters; one of all twelve has 4,096 joint votes."""
         groups = {k: (k,) for k in range(len(self.correlations))}
-        pairs = itertools.combinations(range(len(self.correlations)), 2)
         strength = np.abs(self.correlations)  # voters that exclude each other are as dependent as copies
-        for a, b in sorted(pairs, key=lambda p: -strength[p]):
-            if strength[a, b] < linked:
-                break
-            if groups[a] != groups[b] and len(groups[a]) + len(groups[b]) <= largest:
+        for a, b in itertools.combinations(range(len(self.correlations)), 2):
+            if strength[a, b] >= linked and groups[a] != groups[b]:
                 merged = tuple(sorted(groups[a] + groups[b]))
                 for k in merged:
                     groups[k] = merged

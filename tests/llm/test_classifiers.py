@@ -135,6 +135,21 @@ def test_label_model_finds_accuracies_and_copies():
     assert ((model.posterior(list(texts)) > 0.5) == truth).mean() > 0.97
 
 
+def test_correlated_voters_are_one_group_however_many():
+    """Ten copies of a voter and two of their own: the copies count once."""
+    rng = np.random.default_rng(6)
+    truth = rng.random(20_000) < 0.3
+    seen = [rng.random(len(truth)) < np.where(truth, a, b) for a, b in [(0.6, 0.2), (0.8, 0.1), (0.7, 0.1)]]
+    texts = ["".join("t" if v else "." for v in row) for row in np.column_stack([seen[0]] * 10 + seen[1:])]
+    rows, counts = np.unique(texts, return_counts=True)
+    model = toxicity.LabelModel(
+        [*rows, *texts[:2000]], np.append(counts, np.full(2000, 10)), np.append(np.full(len(rows), -1), truth[:2000].astype(int))
+    )
+    assert tuple(range(10)) in model.groups
+    exact = (0.3 * 0.6 * 0.2 * 0.3) / (0.3 * 0.6 * 0.2 * 0.3 + 0.7 * 0.2 * 0.9 * 0.9)
+    assert abs(model.posterior(["t" * 10 + ".."])[0] - exact) < 0.05
+
+
 def test_logistic_regression_reaches_the_optimum():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3))
