@@ -33,7 +33,7 @@ def count_tokens(texts: list[str | None], encode_batch, batch_bytes: int, piece_
         for piece in safe_pieces(text or "", piece_chars):
             pieces.append(piece)
             owners.append(owner)
-            held += len(piece)
+            held += len(piece) if piece.isascii() else len(piece.encode())
             if held >= batch_bytes:
                 flush()
                 held = 0

@@ -118,3 +118,16 @@ def test_batches_are_even_and_long_texts_cut():
     counts = token_counts.count_tokens(texts, encode, batch_bytes=500, piece_chars=100)
     assert counts.tolist() == [3000, 0, 1, 3000]
     assert max(map(sum, seen)) < 700 and max(map(max, seen)) < 110
+
+
+def test_batches_hold_bytes_not_characters():
+    seen = []
+
+    def encode(pieces):
+        seen.append(sum(len(p.encode()) for p in pieces))
+        return pieces
+
+    texts = ["漢字 " * 100, "😀" * 50, "a" * 300] * 20
+    counts = token_counts.count_tokens(texts, encode, batch_bytes=1000, piece_chars=100)
+    assert counts.tolist() == [300, 50, 300] * 20
+    assert max(seen) < 1000 + 100 * 4
