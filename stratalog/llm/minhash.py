@@ -7,11 +7,9 @@ as soon as all its places are filled, most often after one to three steps. As th
 are spread evenly, estimates vary less than with independent minima.
 
 Copies are reduced to one document for each distinct set first. Bands of the signatures bring similar
-sets together. The members of a bucket are compared with one of them, and components are formed. Where a
-bucket still has several components, the rows outside its largest one are compared with all others, so no
-link between different sets that meet in a bucket is lost. Few of these pairs remain: shingles that hardly
-any other set has bound the similarity of a pair from above, and pairs that cannot reach the bar are left
-out. All links are settled on full sets.
+sets together. The members of a bucket are compared with one of them, and components are formed. Where
+buckets still hold several components, their sets make up families, in which all links between different
+components are found without pairing the members (see ``families``). All links are settled on full sets.
 """
 
 from __future__ import annotations
@@ -26,6 +24,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import discard, documents, free_name, members_first, numbered_rows, ship, without, written
 from stratalog.llm.components import components
+from stratalog.llm.families import family_links
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5  # a pair at 0.85 is missed with probability (1 - 0.85^5)^24, under one in a million
@@ -196,19 +195,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, texts in _chunks(batch):
-            sets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(sets).view(np.int64)),
-                    pa.array(np.repeat(np.array(ids, np.int64), [len(s) for s in sets])),
-                ],
-                names=["element", "node"],
-            )
-
-
 def _linked(percent: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,87 +233,22 @@ def verified_links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame
     return links
 
 
-def pairs_across(labelled: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``low, high`` that may still link components meeting in a bucket.
+def links_across(labelled: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``low, high`` between components that meet in a bucket.
 
-    ``labelled``: bucket, low (the row all others were compared with), node, n_shingles, part. Two sets of
-    n and m shingles with c in common are similar enough if percent * (n + m - c) <= 100 * c. Shingles that
-    at most three of these sets have are rare; all pairs that share one are listed, at most three for each,
-    with how many they share. For all other pairs c is at most the frequent shingles of either. That also
-    tells how large a partner may be, and rows without one so small leave before the pairing in buckets.
+    ``labelled``: bucket, low (the row all others were compared with), node, n_shingles, part. Buckets that
+    hold several components are chained to families by the sets they share.
     """
-    spark = rows.sparkSession
-    counts = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    split = (
-        counts.groupBy("bucket")
-        .agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1")
-        .select("bucket", F.col("most.part").alias("major"))
-    )
+    counts = labelled.groupBy("bucket").agg(F.min("part").alias("_a"), F.max("part").alias("_b"))
+    split = written(counts.where("_a < _b").select("bucket"), "near-split")
     apart, apart_path = written(labelled.join(split, "bucket"), "near-apart", with_path=True)
-    nodes = apart.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("part").alias("part"))
-    elements = _texts_of(nodes.select("node"), rows).mapInArrow(_elements, "element bigint, node bigint")
-    first, last = F.col("first"), F.col("last")
-    middle = F.col("all").bitwiseXOR(first).bitwiseXOR(last)
-    rare, rare_path = written(
-        elements.groupBy("element")
-        .agg(
-            F.count(F.lit(1)).alias("sets"), F.min("node").alias("first"), F.max("node").alias("last"),
-            F.bit_xor("node").alias("all"),
-        )
-        .where("sets <= 3")
-        .select(F.array_distinct(F.when(F.col("sets") < 3, F.array(first, last)).otherwise(F.array(first, middle, last))).alias("nodes")),
-        "near-rare", with_path=True,
-    )
-    own = rare.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
-    known, known_path = written(
-        nodes.join(own, "node", "left").select(
-            "node", "n_shingles", "part", (F.col("n_shingles") - F.coalesce("rare", F.lit(0))).alias("frequent")
-        ),
-        "near-known", with_path=True,
-    )
-
-    def similar_if(common, a: str, b: str):
-        both = F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")
-        return 100 * common >= percent * (both - common)
-
-    # Pairs that share rare shingles.
-    two, three = F.struct(F.col("nodes")[0].alias("low"), F.col("nodes")[1].alias("high")), F.size("nodes") == 3
-    more = [F.struct(F.col("nodes")[i].alias("low"), F.col("nodes")[2].alias("high")) for i in (0, 1)]
-    listed = F.when(three, F.array(two, *more)).otherwise(F.array(two))
-    sharing = (
-        rare.where(F.size("nodes") > 1)
-        .select(F.inline(listed))
-        .groupBy("low", "high")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .alias("p")
-        .join(known.alias("l"), F.col("p.low") == F.col("l.node"))
-        .join(known.alias("r"), F.col("p.high") == F.col("r.node"))
-        .where(F.col("l.part") != F.col("r.part"))
-        .where(similar_if(F.least("l.frequent", "r.frequent") + F.col("shared"), "l", "r"))
-        .select("low", "high")
-    )
-    # Pairs that do not: those whose frequent shingles alone may suffice.
-    sized = apart.drop("n_shingles", "part").join(known, "node").withColumn(
-        "partner", F.floor((100 + percent) * F.col("frequent") / F.lit(percent)) - F.col("n_shingles")
-    )
-    smallest = sized.groupBy("bucket").agg(F.min("n_shingles").alias("smallest"))
-    able, able_path = written(
-        sized.join(smallest, "bucket").where("partner >= smallest").drop("smallest"), "near-able", with_path=True
-    )
-    left, right = able.where("part <> major").alias("l"), able.alias("r")
-    meeting = left.join(
-        right,
-        (F.col("l.bucket") == F.col("r.bucket"))
-        & (F.col("l.part") != F.col("r.part"))
-        & ((F.col("r.part") == F.col("r.major")) | (F.col("l.node") < F.col("r.node")))
-        & (F.col("l.node") != F.col("l.low"))
-        & (F.col("r.node") != F.col("r.low"))
-        & similar_if(F.least("l.frequent", "r.frequent"), "l", "r"),
-    ).select(F.least("l.node", "r.node").alias("low"), F.greatest("l.node", "r.node").alias("high"))
-    found = written(meeting.union(sharing).distinct(), "near-across")
-    discard(spark, apart_path, rare_path, known_path, able_path)
-    return found
+    chained = components(apart.where("node <> low").select("low", "node").distinct())
+    nodes = written(apart.groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("part").alias("part")), "near-nodes")
+    sets = _texts_of(nodes.select("node"), rows).mapInArrow(_sets, "node bigint, members binary")
+    members = nodes.join(chained.toDF("node", "family"), "node").join(sets, "node")
+    members = written(members.select("family", "node", "n", "part", "members"), "near-members")
+    discard(rows.sparkSession, apart_path)
+    return family_links(members, percent)
 
 
 def near_groups(
@@ -375,7 +296,7 @@ def near_groups(
     labelled = crowded.join(parts, "node", "left").select(
         "bucket", "low", "node", "n_shingles", F.coalesce("component", "node").alias("part")
     )
-    more = verified_links(pairs_across(labelled, rows, percent), rows, percent)
+    more = links_across(labelled, rows, percent)
     discard(spark, crowded_path)
     grouped = components(links.union(more))
     named = classes.join(grouped, "node", "left").select(

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratalog.llm import components as cc
+from stratalog.llm import families
 from stratalog.llm import minhash as op
 
 
@@ -102,12 +103,60 @@ def test_links_left_between_components(spark, monkeypatch):
         return whole(pairs.where(F.col("low") < 0) if len(calls) == 1 else pairs, *rest)
 
     monkeypatch.setattr(op, "verified_links", second_only)
-    # Pairs with the first row of a bucket are left to the first comparison.
-    across = op.pairs_across
-    monkeypatch.setattr(op, "pairs_across", lambda labelled, *rest: across(labelled.withColumn("low", F.lit(-1)), *rest))
     assert found(df) == by_hand(rows)
 
 
+@pytest.mark.parametrize(("edits", "percent", "bands"), [(4, 80, 36), (3, 80, 36), (3, 85, 24)])
+def test_families_without_a_base_are_not_paired(spark, monkeypatch, edits, percent, bands):
+    """Copies that differ from a missing base by a few words each: all links, by few comparisons a row."""
+    compared = []
+    whole = families._checked
+
+    def counted(pairs, percent):
+        compared.append(pairs.count())
+        return whole(pairs, percent)
+
+    monkeypatch.setattr(families, "_checked", counted)
+    rng = random.Random(edits)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for k in rng.sample(range(200), edits):
+            words[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert found(df, percent=percent, bands=bands) == by_hand(rows, percent)
+    assert sum(compared) < 12 * len(rows)  # of 28,680 pairs
+
+
+def test_families_of_any_sets(spark):
+    """Random sets around few centres, empty ones included, in overlapping families, against all pairs."""
+    rng = random.Random(8)
+    centres = [rng.sample(range(10**6), 60) for _ in range(3)]
+    sets = []
+    for node in range(160):
+        own = set(rng.choice(centres)) if node % 9 else set()
+        for _ in range(rng.choice([0, 2, 5, 9])):
+            own ^= {rng.choice(centres[0])} if rng.random() < 0.5 else {rng.randrange(50)}
+        sets.append(np.array(sorted(own), np.int64))
+    rows = [(7 if node % 2 else 8, node, len(s), node, s.tobytes()) for node, s in enumerate(sets)]
+    rows += [(9, node, len(sets[node]), node, sets[node].tobytes()) for node in range(0, 160, 3)]
+    members = spark.createDataFrame(rows, "family bigint, node bigint, n bigint, part bigint, members binary")
+    one, two = cc.UnionFind(), cc.UnionFind()
+    for low, high in families.family_links(members, 80).collect():
+        common = len(np.intersect1d(sets[low], sets[high]))
+        assert 100 * common >= 80 * (len(sets[low]) + len(sets[high]) - common)
+        one.union(low, high)
+    together = [{r[1] for r in rows if r[0] == f} for f in (7, 8, 9)]
+    for a in range(160):
+        for b in range(a):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common) and any({a, b} <= t for t in together):
+                two.union(a, b)
+    assert [one.root(x) for x in range(160)] == [two.root(x) for x in range(160)]
+
+
 def test_hot_copies_and_other_bar(spark):
     rows = [(i, "the same few words again and again here") for i in range(400)]
     rows += [(1000 + i, f"number {i} is a text of its own with words {i * 7} {i * 11}") for i in range(300)]

@@ -49,8 +49,6 @@ def test_classifiers_take_effect(spark, between):
 def test_copies_go(between):
     rows = [(r.doc_id, r.text) for r in between[2].collect()]
     assert ids(between[3]) == sorted(r[0] for r in test_exact_dedup.by_hand(rows) if r[3])
-    rows = [(r.doc_id, r.text) for r in between[3].collect()]
-    assert ids(between[4]) == sorted(r[0] for r in test_minhash.by_hand(rows) if r[3])
 
 
 def test_near_copies_at_the_bar_of_the_stage(between):
