@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm.common import documents, ship
-from stratalog.llm.tokens import vocabulary_path
+from stratalog.llm.tokens import UnitMemory, tokenizer, units, vocabulary_path
 
 # Fixed value: how a byte-level tokenizer of this family cuts texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,8 +33,7 @@ LATIN_WORDS = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
     rf"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 )
-WORDS_KEPT = 300_000  # words and pairs whose result a worker remembers; both only save time
-PAIRS_KEPT = 500_000
+PAIRS_KEPT = 500_000  # pairs whose result a worker remembers; this only saves time
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,13 +43,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def word_finder():
-    """A function from a text to its words. Latin texts take the faster of two equal ways."""
-    import regex
-
+def word_finder(path: str):
+    """A function from a text to its words. Latin texts take the faster of two equal ways; all others are
+    cut by the library's own pre-tokenizer, whose letters and numbers are those of its Unicode version."""
     beyond, latin = re.compile(r"[^\x00-\u024f]").search, re.compile(LATIN_WORDS).findall
-    other = regex.compile(WORDS).findall
-    return lambda text: (latin if beyond(text) is None else other)(text)
+    cut = tokenizer(path).pre_tokenizer.pre_tokenize_str
+
+    def words(text: str) -> list[str]:
+        if beyond(text) is None:
+            return latin(text)
+        return [text[start:end] for _, (start, end) in cut(text)]
+
+    return words
 
 
 class PrefixEncoder:
@@ -66,7 +70,7 @@ class PrefixEncoder:
         ids = model["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.words = word_finder()
+        self.words = word_finder(path)
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         size = max([*ids.values(), *special.values()]) + 1
@@ -91,7 +95,9 @@ class PrefixEncoder:
                 self.automaton.add_word(self.bytes[i].decode("latin-1"), i)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.whole = any(" " in t for t in special)  # then a cut into units could go through one
+        self.word = UnitMemory(lambda new: list(map(self.encode_word, new)))
+        self.after = UnitMemory(lambda new: [self._encode(" " + u) for u in new])
 
     def apart(self, left: int, right: int, until: int) -> bool:
         """Whether no merge over the border of two tokens comes before the merge of rank ``until``.
@@ -139,19 +145,19 @@ class PrefixEncoder:
             at -= length[last[at]]
         return tuple(reversed(ids))
 
-    def encode(self, text: str) -> list[int]:
-        known = self.known
+    def _encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 out.append(self.special[part])
-                continue
-            words = self.words(part)
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            for word in set(words).difference(known):
-                known[word] = self.encode_word(word)
-            out.extend(chain.from_iterable(map(known.__getitem__, words)))
+            else:
+                out.extend(chain.from_iterable(self.word(self.words(part))))
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        first, *others = [text] if self.whole else units(text)
+        out = self._encode(first)
+        out.extend(chain.from_iterable(self.after(others)))
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -10,7 +10,6 @@ pieces of a length are then ranked on the cluster, and their rank says which seq
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,11 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import documents, ranked, salt, ship, shuffle_partitions, written
-from stratalog.llm.tokens import END_OF_TEXT, tokenizer, vocabulary_path
+from stratalog.llm.tokens import END_OF_TEXT, unit_ids, vocabulary_path
 
 CAPACITY = 2048
-WORDS_KEPT = 500_000  # words whose ids a worker remembers; this only saves time
-SHORT_WORD = 9  # at the bound shorter words, the more frequent ones, stay
 FLUSH_ROWS = 4096
 
 
@@ -107,7 +104,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         rows, "_length bigint, _first bigint, _end bigint, _each bigint, _sequence bigint, _offset bigint"
     )
     buckets = shuffle_partitions(spark)
-    spread = pieces.withColumn("_bucket", salt("doc_id", "piece", buckets=buckets))
+    spread = pieces.withColumn("_bucket", salt("doc_id", "piece", "ids_crc32", buckets=buckets))
     order = [F.col("doc_id").asc_nulls_last(), F.col("piece"), F.col("ids_crc32")]
     in_length = ranked(spread, ["length"], "_bucket", order, "_rank")
     here = (
@@ -126,52 +123,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 # ------------------------------------------------------------------------------------- pieces
 
 
-class WordIds:
-    """Ids of texts as the library gives them, which sees each word of a text once.
-
-    A byte-level tokenizer cuts a text into words and encodes each for itself, so the ids of a text are
-    those of its words. A new word goes to the library's model, in the letters that stand for its bytes;
-    those met before are looked up.
-    """
-
-    def __init__(self, path: str):
-        from stratalog.llm.bpe import byte_letters, word_finder
-
-        import regex
-
-        self.library = tokenizer(path)
-        self.model = self.library.model
-        self.letters = {byte: letter for letter, byte in byte_letters().items()}
-        self.find = word_finder()
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = {t: array("I", [self.library.token_to_id(t)]).tobytes() for t in added}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > WORDS_KEPT:
-            short = {w: c for w, c in self.known.items() if len(w) <= SHORT_WORD}
-            self.known = short if len(short) <= WORDS_KEPT // 2 else {}
-        for word in set(words).difference(self.known):
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            self.known[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        parts = []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.special:
-                parts.append(self.special[part])
-                continue
-            words = self.find(part)
-            self._learn(words)
-            parts.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(parts)
-
-
-_WORD_IDS: dict[str, WordIds] = {}
-
-
 def piece_spans(total: int, capacity: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of a document; only the first may be shorter than the capacity."""
     first = total % capacity or capacity
@@ -196,10 +147,7 @@ def tokenised_pieces(
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = vocabulary_path(vocabulary)
-        if path not in _WORD_IDS:
-            _WORD_IDS[path] = WordIds(path)
-        ids_of = _WORD_IDS[path]
+        ids_of = unit_ids(vocabulary_path(vocabulary))
         for batch in batches:
             rows: list[list] = [[] for _ in columns]
 

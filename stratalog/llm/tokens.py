@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 VOCABULARY = "byte_bpe_50k.json"
 END_OF_TEXT = 0  # id that closes a packed document
@@ -46,3 +47,67 @@ def safe_pieces(text: str, most: int) -> list[str]:
         start = cut.start()
     pieces.append(text[start:])
     return pieces
+
+
+def units(text: str) -> list[str]:
+    """``text`` cut before every blank that has no white space on either side.
+
+    That blank is left out, so each unit but the first stands for one blank and itself. What a tokenizer
+    gives for a text is what it gives for its units, one after the other. Most texts repeat few of them.
+    """
+    pieces = text.split(" ")
+    # All white space but the blank is not printable, and next to a blank another one leaves nothing between.
+    return pieces if "" not in pieces and text.isprintable() else _SAFE.split(text)
+
+
+class UnitMemory:
+    """What a worker remembers of the units it has met; this only saves time.
+
+    Units of more than ``LONGEST`` characters are not kept, and all go at ``KEPT`` of them: at four bytes a
+    character and the values made of it, a few hundred megabytes are never passed.
+    """
+
+    LONGEST = 48
+    KEPT = 250_000
+
+    def __init__(self, learn):
+        self.learn = learn  # from a list of units to a list of what is remembered of them
+        self.known: dict = {}
+
+    def __call__(self, found: list[str]) -> list:
+        known = self.known
+        if len(known) > self.KEPT:
+            known.clear()
+        new = list(set(found).difference(known))
+        if not new:
+            return list(map(known.__getitem__, found))
+        passing = {}
+        for unit, value in zip(new, self.learn(new)):
+            (known if len(unit) <= self.LONGEST else passing)[unit] = value
+        if not passing:
+            return list(map(known.__getitem__, found))
+        return [passing[u] if u in passing else known[u] for u in found]
+
+
+class UnitIds:
+    """Ids of texts as the library gives them, which sees each unit once."""
+
+    def __init__(self, path: str):
+        self.library = tokenizer(path)
+        added = self.library.get_added_tokens_decoder().values()
+        self.whole = any(" " in t.content for t in added)  # then a cut could go through one
+        self.after = UnitMemory(lambda new: self._learn([" " + u for u in new]))
+
+    def _learn(self, texts: list[str]) -> list[bytes]:
+        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def __call__(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        first, *others = [text] if self.whole else units(text)
+        return b"".join([*self._learn([first]), *self.after(others)])
+
+
+@functools.lru_cache(maxsize=2)
+def unit_ids(path: str) -> UnitIds:
+    return UnitIds(path)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stratalog.llm import bpe, token_counts
-from stratalog.llm.tokens import safe_pieces, vocabulary_path
+from stratalog.llm.tokens import UnitMemory, safe_pieces, unit_ids, units, vocabulary_path
 
 
 def ids_of(library, text):
@@ -131,3 +131,59 @@ def test_batches_hold_bytes_not_characters():
     counts = token_counts.count_tokens(texts, encode, batch_bytes=1000, piece_chars=100)
     assert counts.tolist() == [300, 50, 300] * 20
     assert max(seen) < 1000 + 100 * 4
+
+
+def test_every_character_is_cut_as_the_library_does(own, library):
+    """All code points, each after and before a letter, itself, a number, a blank and a Chinese character.
+
+    Ids are compared for all Latin ones and wherever another Unicode version would cut in another way.
+    """
+    import regex
+
+    ids = unit_ids(vocabulary_path(None))
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    other = 0
+    for start in range(0, len(points), 4096):
+        # A line break between two letters keeps them apart.
+        lines = ["a{0}{0}1 {0}\u6f22{0}z".format(chr(p)) for p in points[start : start + 4096]]
+        text = "\n".join(lines)
+        found = own.words(text)
+        assert found == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+        if points[start] <= 0x24F:
+            doubtful = lines[:0x24F]
+        elif found == regex.findall(bpe.WORDS, text):
+            continue
+        else:
+            doubtful = [line for line in lines if own.words(line) != regex.findall(bpe.WORDS, line)]
+            other += len(doubtful)
+        for line in doubtful:
+            expected = ids_of(library, line)
+            assert own.encode(line) == expected
+            assert memoryview(ids(line)).cast("I").tolist() == expected
+    assert own.encode("\U00011db6\u6f22") == [172, 239, 114, 114, 162, 120, 95] and other > 1000
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aabcst're  \n\t\x1c\xa0\u200309.,!é漢😀<|endoftext|>"), max_size=80) | st.text(max_size=40))
+def test_ids_of_units_are_those_of_the_text(text):
+    ids = unit_ids(vocabulary_path(None))
+    first, *others = units(text)
+    assert first + "".join(" " + u for u in others) == text
+    assert memoryview(ids(text)).cast("I").tolist() == ids.library.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_is_bounded_by_bytes(own, library):
+    """Two thousand words of 100 KB each are encoded and none is kept."""
+    sizes = []
+    memory = UnitMemory(lambda new: [len(u) for u in new])
+    for k in range(2000):
+        assert memory([f"{k:06}" + "x" * 100_000, "kept"]) == [100_006, 4]
+        sizes.append(sum(map(len, memory.known)))
+    assert max(sizes) == 4
+    many = UnitMemory(lambda new: new)
+    for k in range(0, 2 * UnitMemory.KEPT, 1000):
+        many([f"w{i}" for i in range(k, k + 1000)])
+    assert len(many.known) <= UnitMemory.KEPT + 1000
+    text = " ".join("ab" * 20_000 + str(k) for k in range(3))
+    assert own.encode(text) == ids_of(library, text)
+    assert not any(len(w) > UnitMemory.LONGEST for m in (own.word, own.after) for w in m.known)
