@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from stratalog.llm import (
+    alignment,
+    bitplanes,
     bpe,
+    centroids,
     exact_dedup,
     minhash,
     packing,
@@ -26,8 +29,12 @@ QUERIES = {
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_simhash": simhash.op10_simhash,
+    "op11_bit_planes": bitplanes.op11_bit_planes,
+    "op12_centroid_clustering": centroids.op12_centroid_clustering,
+    "op13_alignment": alignment.op13_alignment,
 }
 SQL = {
     **exact_dedup.SQL,
     **url_filter.SQL,
+    **centroids.SQL,
 }
