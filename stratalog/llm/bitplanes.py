@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.window import Window
 
 from stratalog.llm.common import documents, ship, written
-from stratalog.llm.tokens import unit_ids, vocabulary_path
+from stratalog.llm.tokens import word_ids, vocabulary_path
 from stratalog.session import scratch_path
 
 BLOCK = 65_536
@@ -208,7 +208,7 @@ def write_ids(
     closing = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = unit_ids(vocabulary_path(vocabulary))
+        ids_of = word_ids(vocabulary_path(vocabulary))
         writer = PlaneWriter(TaskContext.get().partitionId(), kind, block)
         records: list[bytes] = []
 

@@ -14,14 +14,14 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm.common import documents, ship
-from stratalog.llm.tokens import UnitMemory, tokenizer, units, vocabulary_path
+from stratalog.llm.tokens import UnitMemory, tokenizer, vocabulary_path
 
 # Fixed value: how a byte-level tokenizer of this family cuts texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,15 +44,30 @@ def byte_letters() -> dict[str, int]:
 
 
 def word_finder(path: str):
-    """A function from a text to its words. Latin texts take the faster of two equal ways; all others are
-    cut by the library's own pre-tokenizer, whose letters and numbers are those of its Unicode version."""
+    """A function from a text to its words.
+
+    Characters beyond ``LATIN_WORDS`` are letters, numbers, white space or others by the Unicode version of
+    the library, so its own pre-tokenizer says what each is, once. Another character of that kind stands
+    for it while the text is cut.
+    """
     beyond, latin = re.compile(r"[^\x00-\u024f]").search, re.compile(LATIN_WORDS).findall
     cut = tokenizer(path).pre_tokenizer.pre_tokenize_str
+    kinds: dict[int, str] = {}
+
+    def kind(c: str) -> str:
+        for before, same in (("a", "\xe9"), ("1", "\xb2"), ("!", "\xa4")):  # a letter, a number, neither
+            if len(cut(before + c)) == 1:
+                return same
+        return "\x85"  # white space
 
     def words(text: str) -> list[str]:
         if beyond(text) is None:
             return latin(text)
-        return [text[start:end] for _, (start, end) in cut(text)]
+        for c in set(text):
+            if c > "\u024f" and ord(c) not in kinds:
+                kinds[ord(c)] = kind(c)
+        ends = list(accumulate(map(len, latin(text.translate(kinds)))))
+        return [text[start:end] for start, end in zip([0, *ends], ends)]
 
     return words
 
@@ -95,9 +110,7 @@ class PrefixEncoder:
                 self.automaton.add_word(self.bytes[i].decode("latin-1"), i)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.whole = any(" " in t for t in special)  # then a cut into units could go through one
         self.word = UnitMemory(lambda new: list(map(self.encode_word, new)))
-        self.after = UnitMemory(lambda new: [self._encode(" " + u) for u in new])
 
     def apart(self, left: int, right: int, until: int) -> bool:
         """Whether no merge over the border of two tokens comes before the merge of rank ``until``.
@@ -145,7 +158,7 @@ class PrefixEncoder:
             at -= length[last[at]]
         return tuple(reversed(ids))
 
-    def _encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
@@ -154,12 +167,6 @@ class PrefixEncoder:
                 out.extend(chain.from_iterable(self.word(self.words(part))))
         return out
 
-    def encode(self, text: str) -> list[int]:
-        first, *others = [text] if self.whole else units(text)
-        out = self._encode(first)
-        out.extend(chain.from_iterable(self.after(others)))
-        return out
-
     def decode(self, ids: list[int]) -> str:
         """Unknown ids raise an error; bytes that are no text become replacement characters."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")

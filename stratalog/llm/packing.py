@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import documents, ranked, salt, ship, shuffle_partitions, written
-from stratalog.llm.tokens import END_OF_TEXT, unit_ids, vocabulary_path
+from stratalog.llm.tokens import END_OF_TEXT, word_ids, vocabulary_path
 
 CAPACITY = 2048
 FLUSH_ROWS = 4096
@@ -147,7 +147,7 @@ def tokenised_pieces(
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = unit_ids(vocabulary_path(vocabulary))
+        ids_of = word_ids(vocabulary_path(vocabulary))
         for batch in batches:
             rows: list[list] = [[] for _ in columns]
 

@@ -49,22 +49,27 @@ def safe_pieces(text: str, most: int) -> list[str]:
     return pieces
 
 
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def units(text: str) -> list[str]:
     """``text`` cut before every blank that has no white space on either side.
 
     That blank is left out, so each unit but the first stands for one blank and itself. What a tokenizer
-    gives for a text is what it gives for its units, one after the other. Most texts repeat few of them.
+    gives for a text is what it gives for its units, one after the other. Texts repeat most of theirs.
     """
     pieces = text.split(" ")
-    # All white space but the blank is not printable, and next to a blank another one leaves nothing between.
-    return pieces if "" not in pieces and text.isprintable() else _SAFE.split(text)
+    if "" in pieces or any(s in text and (" " + s in text or s + " " in text) for s in _SPACES):
+        return _SAFE.split(text)
+    return pieces
 
 
 class UnitMemory:
     """What a worker remembers of the units it has met; this only saves time.
 
-    Units of more than ``LONGEST`` characters are not kept, and all go at ``KEPT`` of them: at four bytes a
-    character and the values made of it, a few hundred megabytes are never passed.
+    Units of more than ``LONGEST`` characters are not kept. Of the others there are two generations of at
+    most ``KEPT``: when the younger one is full it becomes the older one, and what is met again comes back.
+    With their values these stay under a few hundred bytes a unit.
     """
 
     LONGEST = 48
@@ -73,14 +78,20 @@ class UnitMemory:
     def __init__(self, learn):
         self.learn = learn  # from a list of units to a list of what is remembered of them
         self.known: dict = {}
+        self.older: dict = {}
 
     def __call__(self, found: list[str]) -> list:
-        known = self.known
-        if len(known) > self.KEPT:
-            known.clear()
-        new = list(set(found).difference(known))
+        if len(self.known) >= self.KEPT:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set(found).difference(known)
+        if new:
+            for unit in new.intersection(older):
+                known[unit] = older[unit]
+            new.difference_update(older)
         if not new:
             return list(map(known.__getitem__, found))
+        new = list(new)
         passing = {}
         for unit, value in zip(new, self.learn(new)):
             (known if len(unit) <= self.LONGEST else passing)[unit] = value
@@ -89,25 +100,37 @@ class UnitMemory:
         return [passing[u] if u in passing else known[u] for u in found]
 
 
-class UnitIds:
-    """Ids of texts as the library gives them, which sees each unit once."""
+class WordIds:
+    """Ids of texts as the library gives them, which sees each word once.
+
+    A byte-level tokenizer cuts a text into words and encodes each for itself. A new word goes to the
+    library's model, in the letters that stand for its bytes; those met before are looked up.
+    """
 
     def __init__(self, path: str):
-        self.library = tokenizer(path)
-        added = self.library.get_added_tokens_decoder().values()
-        self.whole = any(" " in t.content for t in added)  # then a cut could go through one
-        self.after = UnitMemory(lambda new: self._learn([" " + u for u in new]))
+        from stratalog.llm.bpe import byte_letters, word_finder
 
-    def _learn(self, texts: list[str]) -> list[bytes]:
-        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
+        self.library = tokenizer(path)
+        self.model = self.library.model
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        self.words = word_finder(path)
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = {t: array("I", [self.library.token_to_id(t)]).tobytes() for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.word = UnitMemory(lambda new: list(map(self._word, new)))
+
+    def _word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        first, *others = [text] if self.whole else units(text)
-        return b"".join([*self._learn([first]), *self.after(others)])
+        parts = []
+        for part in self.cut.split(text) if self.cut else [text]:
+            parts.extend([self.special[part]] if part in self.special else self.word(self.words(part)))
+        return b"".join(parts)
 
 
 @functools.lru_cache(maxsize=2)
-def unit_ids(path: str) -> UnitIds:
-    return UnitIds(path)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)

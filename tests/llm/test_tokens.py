@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stratalog.llm import bpe, token_counts
-from stratalog.llm.tokens import UnitMemory, safe_pieces, unit_ids, units, vocabulary_path
+from stratalog.llm.tokens import UnitMemory, safe_pieces, word_ids, units, vocabulary_path
 
 
 def ids_of(library, text):
@@ -140,7 +140,7 @@ def test_every_character_is_cut_as_the_library_does(own, library):
     """
     import regex
 
-    ids = unit_ids(vocabulary_path(None))
+    ids = word_ids(vocabulary_path(None))
     points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     other = 0
     for start in range(0, len(points), 4096):
@@ -165,8 +165,9 @@ def test_every_character_is_cut_as_the_library_does(own, library):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aabcst're  \n\t\x1c\xa0\u200309.,!é漢😀<|endoftext|>"), max_size=80) | st.text(max_size=40))
-def test_ids_of_units_are_those_of_the_text(text):
-    ids = unit_ids(vocabulary_path(None))
+def test_words_and_units_make_up_the_text(text):
+    ids = word_ids(vocabulary_path(None))
+    assert "".join(ids.words(text)) == text
     first, *others = units(text)
     assert first + "".join(" " + u for u in others) == text
     assert memoryview(ids(text)).cast("I").tolist() == ids.library.encode(text, add_special_tokens=False).ids
@@ -181,9 +182,9 @@ def test_memory_is_bounded_by_bytes(own, library):
         sizes.append(sum(map(len, memory.known)))
     assert max(sizes) == 4
     many = UnitMemory(lambda new: new)
-    for k in range(0, 2 * UnitMemory.KEPT, 1000):
+    for k in range(0, 3 * UnitMemory.KEPT, 1000):
         many([f"w{i}" for i in range(k, k + 1000)])
-    assert len(many.known) <= UnitMemory.KEPT + 1000
+    assert len(many.known) + len(many.older) <= 2 * (UnitMemory.KEPT + 1000)
     text = " ".join("ab" * 20_000 + str(k) for k in range(3))
     assert own.encode(text) == ids_of(library, text)
-    assert not any(len(w) > UnitMemory.LONGEST for m in (own.word, own.after) for w in m.known)
+    assert not any(len(w) > UnitMemory.LONGEST for w in own.word.known)
