@@ -18,6 +18,7 @@ import functools
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,28 +68,6 @@ def refined_ends(coarse: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return np.where(at_cut, coarse, base + counted - done)
 
 
-class Aligned:
-    """The alignment of one unit: counts, its linked pairs with their number, and the text of its groups."""
-
-    __slots__ = ("counts", "groups", "pairs", "times")
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray):
-        cuts = np.union1d(ends_a, ends_b)
-        at_a, at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-        links = a[at_a].astype(np.int64) << 32 | b[at_b]
-        self.pairs, times = np.unique(links, return_counts=True)
-        self.times = times.astype(np.int32)
-        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        to_a, to_b = np.searchsorted(ends_a, shared) + 1, np.searchsorted(ends_b, shared) + 1
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        parts, i, j = [], 0, 0
-        for m, n in zip(to_a.tolist(), to_b.tolist()):
-            parts.append(f"{','.join(names_a[i:m])}|{','.join(names_b[j:n])}")
-            i, j = m, n
-        self.groups = ";".join(parts)
-        self.counts = (len(a), len(b), len(shared), len(links))
-
-
 class Aligner:
     """Both tokenizers of a worker, and what it remembers of units."""
 
@@ -110,37 +89,73 @@ class Aligner:
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_MARK, " ").encode()
             for i, piece in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         ]
+        self.length_a, self.length_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.decimal = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         pre = json.loads(self.a.to_str())["pre_tokenizer"] or {}
         inner = any(SPACE_MARK in self.b.id_to_piece(i).lstrip(SPACE_MARK) for i in range(len(self.bytes_b)))
         # A piece over a blank, or a cutter that is not known to stop there, leaves texts whole.
         self.whole = inner or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True)
         self.unit = UnitMemory(self.align)
 
-    def align(self, found: list[str]) -> list[Aligned | None]:
-        """Alignments of the texts ``space + unit``; None where tokens do not give back its bytes."""
-        spaced = [" " + u for u in found]
-        encoded = self.a.encode_batch(spaced, add_special_tokens=False)
-        protos = self.b.encode(found, return_type="proto", num_threads=1)
-        return [self._aligned(*each) for each in zip(spaced, encoded, protos)]
-
-    def _aligned(self, spaced: str, encoding, proto) -> Aligned | None:
-        data = spaced.encode()
-        a = encoding.ids
-        spans = [(p.id, p.begin, p.end) for p in proto.pieces]
-        b = [i for i, _, _ in spans]
-        if b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
+    def align(self, found: list[str]) -> list[tuple[bytes, bytes, str] | None]:
+        """What is linked in the texts ``space + unit``: the numbers of tokens of both kinds and of groups
+        (32 bits each), each link as its A id times 2^32 plus its B id (64 bits), and the text of the groups.
+        None where tokens do not give back the bytes.
+
+        Units without white space at their ends are put together to one text, as blanks between them are
+        safe; if that fails, a unit in it does, and each is aligned for itself.
+        """
+        if not self.whole and len(found) > 1:
+            together = [u for u in found if not (u[0].isspace() or u[-1].isspace() or SPACE_MARK in u)]
+            values = self._aligned(together) if together else None
+            if values is not None:
+                known = dict(zip(together, values))
+                return [known[u] if u in known else self._alone(u) for u in found]
+        return [self._alone(u) for u in found]
+
+    def _alone(self, unit: str) -> tuple[bytes, bytes, str] | None:
+        found = self._aligned([unit])
+        return None if found is None else found[0]
+
+    def _aligned(self, found: list[str]) -> list[tuple[bytes, bytes, str]] | None:
+        text = " ".join(found)
+        encoding = self.a.encode(" " + text, add_special_tokens=False)
+        proto = self.b.encode(text, return_type="proto", num_threads=1)
+        data, a = (" " + text).encode(), encoding.ids
+        b = [(p.id, p.begin, p.end) for p in proto.pieces]
+        if not b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i, _, _ in b]):
             return None
-        offsets = np.array(encoding.offsets, np.int64)
-        if len(data) > len(spaced):  # characters to bytes
+        a = np.array(a, np.int64)
+        offsets = np.fromiter(chain.from_iterable(encoding.offsets), np.int64).reshape(-1, 2)
+        b, begins, ends = np.fromiter(chain.from_iterable(b), np.int64).reshape(-1, 3).T
+        if not text.isascii():  # characters to bytes
             leads = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
             offsets = np.append(leads, len(data))[offsets]
-        ends_a = refined_ends(offsets[:, 1], offsets[:, 0], np.array([len(self.bytes_a[i]) for i in a]))
-        # Spans of B are in bytes of the unit, which lacks the space that B adds.
-        begins, ends = (np.array([s[k] for s in spans], np.int64) + 1 for k in (1, 2))
-        ends_b = refined_ends(ends, begins, np.array([len(self.bytes_b[i]) for i in b]))
-        return Aligned(np.array(a, np.int64), np.array(b, np.int64), ends_a, ends_b)
+        ends_a = refined_ends(offsets[:, 1], offsets[:, 0], self.length_a[a])
+        # Spans of B are in bytes of the text, which lacks the space that B adds.
+        ends_b = refined_ends(ends + 1, begins + 1, self.length_b[b])
+        unit_ends = np.cumsum([len(u.encode()) + 1 for u in found]) if len(found) > 1 else np.array([len(data)])
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_ends = np.searchsorted(shared, unit_ends, side="right")
+        if not (shared[group_ends - 1] == unit_ends).all():
+            return None
+        cuts = np.union1d(ends_a, ends_b)
+        links = (a[np.searchsorted(ends_a, cuts)] << 32 | b[np.searchsorted(ends_b, cuts)]).tobytes()
+        link_ends = (8 * np.searchsorted(cuts, unit_ends, side="right")).tolist()
+        token_ends = [np.searchsorted(e, unit_ends, side="right") for e in (ends_a, ends_b)]
+        counts = np.stack([np.diff(e, prepend=0) for e in (*token_ends, group_ends)], axis=1).astype(np.int32).tobytes()
+        names_a, names_b = [self.decimal[i] for i in a.tolist()], [self.decimal[i] for i in b.tolist()]
+        groups, i, j = [], 0, 0
+        for m, n in zip((np.searchsorted(ends_a, shared) + 1).tolist(), (np.searchsorted(ends_b, shared) + 1).tolist()):
+            groups.append(",".join(names_a[i:m]) + "|" + ",".join(names_b[j:n]))
+            i, j = m, n
+        out, link, group = [], 0, 0
+        for at, (link_end, group_end) in enumerate(zip(link_ends, group_ends.tolist())):
+            out.append((counts[12 * at : 12 * at + 12], links[link:link_end], ";".join(groups[group:group_end])))
+            link, group = link_end, group_end
+        return out
 
-    def text(self, text: str | None) -> list[Aligned] | None:
+    def text(self, text: str | None) -> list[tuple[bytes, bytes, str]] | None:
         """The alignments of the units of a text, in order; None if it has no tokens."""
         if not text:
             return None
@@ -162,7 +177,7 @@ class _Sums:
 
     def add(self, pairs: np.ndarray, times: np.ndarray) -> None:
         self.pairs.append(pairs)
-        self.links.append(times.astype(np.int64))
+        self.links.append(times)
         self.held += len(pairs)
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -173,16 +188,6 @@ class _Sums:
         return pairs, links
 
 
-def _summed(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if len(pairs) == 1:
-        return pairs[0], times[0]
-    joined = np.concatenate(pairs)
-    order = np.argsort(joined, kind="stable")
-    joined = joined[order]
-    starts = np.flatnonzero(np.concatenate([[True], joined[1:] != joined[:-1]]))
-    return joined[starts], np.add.reduceat(np.concatenate(times)[order], starts)
-
-
 def aligned_rows(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: str) -> DataFrame:
     """A row for each text with its counts, linked pairs and group hash, and rows of the sums of each task."""
     ship(docs.sparkSession)
@@ -207,11 +212,12 @@ def aligned_rows(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: s
                 if found is None:
                     rows.append((doc, 0, 0, 0, 0, "", [], [], None, None))
                 else:
-                    counts = np.array([u.counts for u in found]).sum(axis=0).tolist()
-                    digest = hashlib.sha256(";".join([u.groups for u in found]).encode()).hexdigest()
-                    pairs, times = _summed([u.pairs for u in found], [u.times for u in found])
+                    counts = np.frombuffer(b"".join([c for c, _, _ in found]), np.int32).reshape(-1, 3).sum(axis=0).tolist()
+                    links = np.frombuffer(b"".join([k for _, k, _ in found]), np.int64)
+                    digest = hashlib.sha256(";".join([g for _, _, g in found]).encode()).hexdigest()
+                    pairs, times = np.unique(links, return_counts=True)
                     sums.add(pairs, times)
-                    rows.append((doc, *counts, digest, pairs, times, None, None))
+                    rows.append((doc, *counts, len(links), digest, pairs, times.astype(np.int32), None, None))
                     held += len(pairs)
                 if held >= FLUSH_LINKS:
                     yield table(list(zip(*rows)))
@@ -313,7 +319,7 @@ def spans(
         for batch in batches:
             for doc, whole in zip(batch.column(0), batch.column(1)):
                 found = own.text(whole.as_py())
-                groups = None if found is None else ";".join([u.groups for u in found])
+                groups = None if found is None else ";".join([g for _, _, g in found])
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([groups], pa.string())], names=["doc_id", "groups"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(align, "doc_id bigint, groups string")
