@@ -23,6 +23,24 @@ def rejected_rows(
     )
 
 
+def split_records(
+    df: DataFrame, required: Sequence[str], reason: str, rejected_at: Column
+) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and rejected ones with all their reasons, of records parsed with ``malformed``.
+
+    Every row is in one of the two. A record that does not fit the schema is rejected for each of its
+    faults; ``reason`` is one more where a required value is missing. The raw record stays with a reject.
+    """
+    present = all_present(required)
+    fits = F.size("malformed") == 0
+    valid = df.filter(fits & present).drop("malformed", "raw_record")
+    reasons = F.array_compact(F.concat("malformed", F.array(F.when(~present, F.lit(reason)))))
+    rejected = df.filter(~(fits & present)).withColumns(
+        {"rejection_reason": F.array_join(reasons, "; "), "rejected_at": rejected_at}
+    )
+    return valid, rejected.drop("malformed")
+
+
 def dedupe(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[Column] = (), total: bool = False
 ) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.config import GoldRules, SilverRules, StrictRules
+from stratalog.functions import dates
 from stratalog.functions.text import all_present
-from stratalog.operators.cleanse import with_rates
+from stratalog.operators.cleanse import split_records, with_rates
 from stratalog.plans import gold, silver
 from stratalog.session import scratch_path
-from stratalog.sources import catalogue, readers, sinks
+from stratalog.sources import catalogue, readers, records, sinks
 
 
 def bronze_to_silver(
@@ -77,6 +78,33 @@ def landed(
     return readers.read_parquet(spark, target)
 
 
+def checked_csv_to_silver(
+    spark: SparkSession,
+    source: str,
+    silver_path: str,
+    rejected_path: str,
+    rules: SilverRules = SilverRules(),
+    landing_path: str | None = None,
+) -> DataFrame:
+    """:func:`bronze_to_silver` from CSV read in splits, with records that do not fit among the rejects.
+
+    Every record of the source is valid or rejected; a reject keeps its raw text and all reasons. Files are
+    parsed once, into Parquet.
+    """
+    target = landing_path or scratch_path(spark, "landing")
+    sinks.write_parquet(records.read_csv_checked(spark, source), target)
+    stamp = dates.processed_at(rules.processed_at)
+    valid, rejected = split_records(
+        readers.read_parquet(spark, target), rules.required, rules.rejection_reason, stamp
+    )
+    sinks.write_partitioned(silver.silver(valid, rules), silver_path, "content_type")
+    sinks.write_if_any(rejected, rejected_path)
+    landed_ = readers.read_parquet(spark, target).agg(F.count(F.lit(1)).alias("initial_count"))
+    passed = valid.agg(F.count(F.lit(1)).alias("valid_count"))
+    final = readers.read_parquet(spark, silver_path).agg(F.count(F.lit(1)).alias("final_count"))
+    return with_rates(landed_.crossJoin(passed).crossJoin(final))  # one row each
+
+
 def strict_csv_to_silver(
     spark: SparkSession,
     source: str,

@@ -111,6 +111,9 @@ def on_gold(name: str, plan: Callable[[DataFrame], DataFrame]) -> Query:
 
 # ---------------------------------------------------------------------------- SQL of the layers
 
+#: Years of the given orders, for SQL that has to list its columns; the queries find them themselves.
+ORDER_YEARS = range(1995, 2002)
+
 
 def sql_mean(column: str, places: int) -> str:
     """Mean of a column with that many decimals, from exact whole steps."""

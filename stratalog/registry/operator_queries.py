@@ -30,6 +30,7 @@ from stratalog.operators import aggregates, cleanse, joins, ranking, reshape, ro
 from stratalog.plans import gold as gold_plans
 from stratalog.plans import silver as silver_plans
 from stratalog.registry.base import (
+    ORDER_YEARS,
     GOLD_RULES,
     SILVER_RULES,
     gold,
@@ -731,9 +732,9 @@ def _orders_month_by_year(spark, sf_dir):
 register(
     "e18_orders_month_year_pivot",
     _orders_month_by_year,
-    """SELECT * FROM (
-  PIVOT (SELECT CAST(month(o_orderdate) AS INTEGER) AS order_month, year(o_orderdate) AS y FROM orders)
-  ON y USING CAST(count(*) AS BIGINT) GROUP BY order_month)""",
+    f"""SELECT CAST(month(o_orderdate) AS INTEGER) AS order_month,
+  {", ".join(f'CAST(count(*) FILTER (WHERE year(o_orderdate) = {y}) AS BIGINT) AS "{y}"' for y in ORDER_YEARS)}
+FROM orders GROUP BY 1""",
 )
 
 
@@ -1058,7 +1059,7 @@ _REJECTED_SQL = (
 _bronze(
     # One side is a filter of the other, so the filter says it all; see the customers for a difference.
     "h1_difference",
-    lambda df: silver_plans.rejected(df, SilverRules(distinct_rejects=True)).select(*df.columns),
+    lambda df: sets.difference(df, cleanse.valid_rows(df, REQUIRED)),
     f"SELECT DISTINCT * FROM ({_REJECTED_SQL})",
 )
 _bronze(

@@ -16,7 +16,7 @@ from stratalog.plans.reports import (
     rating,
     temporal,
 )
-from stratalog.registry.base import on_gold, register, sql_mean, sql_on_gold, sql_text
+from stratalog.registry.base import ORDER_YEARS, on_gold, register, sql_mean, sql_on_gold, sql_text
 from stratalog.sources.sinks import render_arrays
 
 
@@ -324,9 +324,13 @@ FROM temporal_trends GROUP BY 1, 2""",
 _report(
     "l34_month_year_matrix",
     temporal.month_year_matrix,
-    """SELECT * FROM (
-  PIVOT (SELECT added_month, added_year, content_added_count FROM temporal_trends)
-  ON added_year USING CAST(coalesce(sum(content_added_count), 0) AS BIGINT) GROUP BY added_month)""",
+    # Titles are added twenty years after their orders.
+    "SELECT added_month, "
+    + ", ".join(
+        f'CAST(coalesce(sum(content_added_count) FILTER (WHERE added_year = {y + 20}), 0) AS BIGINT) AS "{y + 20}"'
+        for y in ORDER_YEARS
+    )
+    + " FROM temporal_trends GROUP BY 1",
 )
 _report(
     "l35_age_at_addition",

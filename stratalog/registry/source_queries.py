@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.config import PANDAS_NULL_TOKENS
-from stratalog.operators.cleanse import valid_rows
+from stratalog.functions import dates
+from stratalog.operators.cleanse import split_records, valid_rows
 from stratalog.plans import gold as gold_plans
 from stratalog.plans import jobs
 from stratalog.plans import silver as silver_plans
@@ -29,7 +30,7 @@ from stratalog.registry.base import (
     sql_on_silver,
 )
 from stratalog.session import scratch_path
-from stratalog.sources import catalogue, readers, sinks
+from stratalog.sources import catalogue, readers, records, sinks
 
 
 def _csv_explicit(spark, sf_dir):
@@ -52,6 +53,65 @@ FROM bronze"""
 )
 
 
+def _csv_split(spark, sf_dir):
+    """The same file content, read in splits: records are put together from lines."""
+    path = scratch_path(spark, "csv")
+    quoted = F.concat(F.lit('He said "'), "title", F.lit('", then\nleft'))
+    sinks.export_csv(bronze(spark, sf_dir).withColumn("title", quoted), path)
+    return records.read_csv_split(spark, path)
+
+
+register(
+    "a1_csv_split_records",
+    _csv_split,
+    sql_on_bronze(
+        """SELECT * REPLACE ('He said "' || title || '", then' || chr(10) || 'left' AS title,
+  nullif(description, '') AS description)
+FROM bronze"""
+    ),
+)
+
+
+def _broken_csv(spark, sf_dir) -> str:
+    """The catalogue as CSV, with years that are no numbers and records with a field too many."""
+    path = scratch_path(spark, "csv")
+    year = F.col("release_year")
+    rows = bronze(spark, sf_dir)
+    text = year.cast("string")
+    broken = rows.withColumn("release_year", F.when(year % 10 == 3, F.concat(text, F.lit("?"))).otherwise(text))
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    line = F.to_csv(F.struct(*rows.columns), options)
+    long = F.coalesce(F.substring("release_year", -1, 1) == "5", F.lit(False))
+    broken.select(F.when(long, F.concat(line, F.lit(",more"))).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+def _malformed_records(spark, sf_dir):
+    parsed = records.read_csv_checked(spark, _broken_csv(spark, sf_dir), header=False)
+    valid, rejected = split_records(
+        parsed, SILVER_RULES.required, SILVER_RULES.rejection_reason, dates.processed_at(SILVER_RULES.processed_at)
+    )
+    kept = ["show_id", "title", "release_year"]
+    passed = valid.select(*kept, F.lit(None).cast("string").alias("rejection_reason"))
+    return passed.union(rejected.select(*kept, "rejection_reason"))
+
+
+register(
+    "c01_malformed_records",
+    _malformed_records,
+    sql_on_bronze(
+        f"""SELECT show_id, nullif(title, '') AS title,
+  CAST(CASE WHEN release_year % 10 = 3 THEN NULL ELSE release_year END AS INTEGER) AS release_year,
+  nullif(concat_ws('; ', CASE WHEN release_year % 10 = 5 THEN 'not 12 fields' END,
+    CASE WHEN release_year % 10 = 3
+      THEN 'release_year: ' || chr(39) || release_year || '?' || chr(39) || ' is not int' END,
+    CASE WHEN NOT coalesce(trim(show_id) <> '' AND trim(title) <> '', FALSE)
+      THEN '{SILVER_RULES.rejection_reason}' END), '') AS rejection_reason
+FROM bronze"""
+    ),
+)
+
+
 def _csv_inferred(spark, sf_dir):
     path = scratch_path(spark, "csv")
     sinks.export_csv(bronze(spark, sf_dir), path)
@@ -163,16 +223,17 @@ FROM top_producers""",
 )
 
 
-def _registered(spark, name: str, path: str, partitioned: bool = False) -> str:
-    table = f"{name}_{uuid.uuid4().hex}"
-    catalogue.register_table(spark, "default", table, path, partitioned)
-    return table
+def _registered(spark, database: str, name: str, path: str, partitioned: bool = False) -> str:
+    """A table in the database of the stored layers; the next one of that name takes its place."""
+    catalogue.register_table(spark, database, name, path, partitioned)
+    return name
 
 
 def _read_by_name(spark, sf_dir):
     path = scratch_path(spark, "temporal_trends")
     sinks.write_parquet(gold(spark, sf_dir, "temporal_trends"), path)
-    return catalogue.read_table(spark, "default", _registered(spark, "temporal_trends", path))
+    database = store(spark, sf_dir).database
+    return catalogue.read_table(spark, database, _registered(spark, database, "trends_by_name", path))
 
 
 register(
@@ -226,11 +287,12 @@ register("a11_gold_bundle", _gold_bundle, _ROW_COUNTS)
 
 def _registered_partitions(spark, sf_dir):
     path = _written_silver(spark, sf_dir)
-    table = _registered(spark, "silver", path, partitioned=True)
+    database = store(spark, sf_dir).database
+    table = _registered(spark, database, "silver_partitions", path, partitioned=True)
     return catalogue.query(
         spark,
         f"SELECT content_type, COUNT(*) AS titles FROM {table} GROUP BY content_type",
-        "default",
+        database,
     )
 
 
@@ -260,6 +322,20 @@ def _silver_job(spark, sf_dir):
 register("m1_silver_job", _silver_job, _REPORT_SQL)
 
 
+def _checked_silver_job(spark, sf_dir):
+    root = scratch_path(spark, "job")
+    path = f"{root}/raw"
+    sinks.export_csv(bronze(spark, sf_dir), path)
+    report = jobs.checked_csv_to_silver(spark, path, f"{root}/processed", f"{root}/rejected", SILVER_RULES)
+    rejects = readers.read_parquet(spark, f"{root}/rejected").count()
+    if rejects != report.first().rejected_count:
+        raise AssertionError("the rejects written disagree with the report")
+    return report
+
+
+register("m1_checked_silver_job", _checked_silver_job, _REPORT_SQL)
+
+
 def _gold_job(spark, sf_dir):
     root = scratch_path(spark, "job")
     sinks.write_partitioned(silver(spark, sf_dir), f"{root}/processed")
