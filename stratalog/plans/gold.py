@@ -49,16 +49,17 @@ def _share(condition: Column) -> Column:
 
 
 def content_overview(silver: DataFrame, rules: GoldRules = GoldRules()) -> DataFrame:
-    """One row of headline figures.
+    """One row of headline figures."""
+    return overview_of(overview_parts(silver, rules), rules)
 
-    The inner aggregation leaves one row per country and genre. The two distinct counts, which make
-    Spark repeat their input, then run over those few rows.
-    """
+
+def overview_parts(silver: DataFrame, rules: GoldRules = GoldRules()) -> DataFrame:
+    """What the overview needs of each country and genre."""
     score, added, year, age = (
         F.col(c)
         for c in ("data_quality_score", "date_added", "release_year", "content_age_years")
     )
-    parts = silver.groupBy("primary_country", "primary_genre").agg(
+    return silver.groupBy("primary_country", "primary_genre").agg(
         _titles().alias("titles"),
         count_where(F.col("content_type") == MOVIE).alias("movies"),
         count_where(F.col("content_type") == TV_SHOW).alias("series"),
@@ -75,6 +76,14 @@ def content_overview(silver: DataFrame, rules: GoldRules = GoldRules()) -> DataF
         F.sum(age).alias("age_sum"),
         F.count(age).alias("aged"),
     )
+
+
+def overview_of(parts: DataFrame, rules: GoldRules = GoldRules()) -> DataFrame:
+    """The overview from a row per country and genre.
+
+    The two distinct counts, which make Spark repeat their input, run over those few rows.
+    """
+
     # A sum over nothing is null; the counts of distinct titles are 0 there.
     def total(part: str) -> Column:
         return F.coalesce(F.sum(part), F.lit(0))
@@ -245,15 +254,10 @@ def quality_scorecard(silver: DataFrame, rules: GoldRules = GoldRules()) -> Data
 
 
 def top_producers(silver: DataFrame, rules: GoldRules = GoldRules()) -> DataFrame:
-    """Single directors per type, ranked by number of titles.
-
-    Titles shrink to a row per director, type and genre, and these rows get the totals of their
-    director. Sets, which cannot be combined in place, are built of the ranked directors' rows only.
-    """
-    director = ["director", "content_type"]
+    """Single directors per type, ranked by number of titles."""
     parts = (
-        silver.filter((F.col("director") != UNKNOWN) & ~F.col("director").contains(","))
-        .groupBy(*director, "primary_genre")
+        single_directors(silver)
+        .groupBy("director", "content_type", "primary_genre")
         .agg(
             _titles().alias("titles"),
             F.sum(score_points("data_quality_score", rules.score_points)).alias("points"),
@@ -263,6 +267,20 @@ def top_producers(silver: DataFrame, rules: GoldRules = GoldRules()) -> DataFram
             count_where(F.col("is_recent")).alias("recent"),
         )
     )
+    return producers_of(parts, rules)
+
+
+def single_directors(df: DataFrame) -> DataFrame:
+    return df.filter((F.col("director") != UNKNOWN) & ~F.col("director").contains(","))
+
+
+def producers_of(parts: DataFrame, rules: GoldRules = GoldRules()) -> DataFrame:
+    """The ranking from a row per director, type and genre.
+
+    These rows get the totals of their director. Sets, which cannot be combined in place, are built of the
+    ranked directors' rows only.
+    """
+    director = ["director", "content_type"]
     whole = Window.partitionBy(*director)
     possible = F.sum("scored").over(whole) * float(rules.score_points)
     score = F.try_divide(F.sum("points").over(whole).cast("double"), possible)
@@ -340,6 +358,11 @@ def build(
     """
     if verify_unique:
         assert_unique(silver, "show_id")
+    return GOLD_TABLES[name].build(silver, rules).select(*columns_of(name, rules))
+
+
+def columns_of(name: str, rules: GoldRules = GoldRules()) -> list[str]:
+    """The columns of a gold table in the published order; some are named by the rules."""
     columns = GOLD_COLUMNS[name]
     if name == "genre_analysis":
         columns = [c.replace("added_since_2020", f"added_since_{rules.since_year}") for c in columns]
@@ -347,7 +370,7 @@ def build(
         added = [f"added_{y}" for y in rules.added_years]
         start = columns.index("added_2021")
         columns = columns[:start] + added + columns[start + 3 :]
-    return GOLD_TABLES[name].build(silver, rules).select(*columns)
+    return list(columns)
 
 
 def in_report_order(name: str, table: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from stratalog.config import GoldRules, SilverRules, StrictRules
 from stratalog.functions import dates
 from stratalog.functions.text import all_present
 from stratalog.operators.cleanse import split_records, with_rates
-from stratalog.plans import gold, silver
+from stratalog.plans import gold, lattice, silver
 from stratalog.session import scratch_path
 from stratalog.sources import catalogue, readers, records, sinks
 
@@ -144,6 +144,7 @@ def silver_to_gold(
     verify_unique: bool = True,
     raise_errors: bool = False,
     at_once: int = 3,
+    one_scan: bool = False,
 ) -> GoldRun:
     """Write the gold tables; a failing table does not stop the others.
 
@@ -153,6 +154,9 @@ def silver_to_gold(
     Each table scans only the silver columns that it needs. ``cache`` keeps those needed by any of
     them in executor memory and disk instead; it pays off where silver is small or slow to read,
     and gives up folder skipping and filters in the scan.
+
+    ``one_scan`` aggregates silver once, to states that are written to the scratch folder, and rolls all
+    tables up from them (see :mod:`stratalog.plans.lattice`). Only the sample titles scan it once more.
     """
     table = readers.read_parquet(spark, silver_path)
     if verify_unique:
@@ -161,9 +165,18 @@ def silver_to_gold(
     if cache:
         table = table.drop("description", "genre", "country", "cast_and_crew", "duration").persist()
 
+    states = None
+    if one_scan:
+        states_path = scratch_path(spark, "states")
+        sinks.write_parquet(lattice.state_table(table, rules), states_path)
+        states = readers.read_parquet(spark, states_path)
+
     def write(name: str) -> None:
         target = f"{gold_path.rstrip('/')}/{name}"
-        result = gold.build(name, table, rules, verify_unique=False)
+        if states is None:
+            result = gold.build(name, table, rules, verify_unique=False)
+        else:
+            result = lattice.build(name, states, table, rules)
         if name == "content_overview":
             sinks.write_single_file(result, target)
         else:

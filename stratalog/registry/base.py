@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.config import GoldRules, SilverRules
 from stratalog.plans import gold as gold_plans
+from stratalog.plans import lattice
 from stratalog.plans import silver as silver_plans
 from stratalog.session import scratch_path
 from stratalog.sources import catalogue, sinks
@@ -70,6 +71,14 @@ class Store:
             self.written.add("silver")
         return catalogue.read_table(self.spark, self.database, "silver")
 
+    def states(self) -> DataFrame:
+        """The states that all gold tables can be rolled up from."""
+        if "states" not in self.written:
+            sinks.write_parquet(lattice.state_table(self.silver(), GOLD_RULES), f"{self.root}/states")
+            catalogue.register_table(self.spark, self.database, "states", f"{self.root}/states")
+            self.written.add("states")
+        return catalogue.read_table(self.spark, self.database, "states")
+
     def gold(self, names: Iterable[str]) -> dict[str, DataFrame]:
         for name in names:
             if name not in self.written:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from stratalog.plans import lattice
 from stratalog.plans.gold import GOLD_TABLES, in_report_order
 from stratalog.registry.base import (
+    GOLD_RULES,
     gold,
     on_bronze,
     on_silver,
@@ -12,6 +14,7 @@ from stratalog.registry.base import (
     sql_on_gold,
     sql_on_silver,
     sql_text,
+    store,
 )
 from stratalog.sources.sinks import render_arrays
 
@@ -32,6 +35,16 @@ def _reader_view(name: str):
     return lambda spark, sf_dir: render_arrays(in_report_order(name, gold(spark, sf_dir, name)))
 
 
+def _rolled_up(name: str):
+    """The same table from the written states of silver."""
+
+    def run(spark, sf_dir):
+        stored = store(spark, sf_dir)
+        return render_arrays(in_report_order(name, lattice.build(name, stored.states(), stored.silver(), GOLD_RULES)))
+
+    return run
+
+
 for _number, _name in enumerate(GOLD_TABLES, start=1):
     _array = _ARRAYS.get(_name)
     _columns = f"* REPLACE ({sql_text(_array)} AS {_array})" if _array else "*"
@@ -40,3 +53,8 @@ for _number, _name in enumerate(GOLD_TABLES, start=1):
         _reader_view(_name),
         sql_on_gold(_name, f"SELECT {_columns} FROM {_name}"),
     )
+    register(
+        f"k{_number}_{_name}_rolled_up",
+        _rolled_up(_name),
+        sql_on_gold(_name, f"SELECT {_columns} FROM {_name}"),
+    )
