@@ -84,14 +84,14 @@ class UnitMemory:
         if len(self.known) >= self.KEPT:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set(found).difference(known)
-        if new:
-            for unit in new.intersection(older):
+        new = []
+        for unit in set(found).difference(known):
+            if unit in older:
                 known[unit] = older[unit]
-            new.difference_update(older)
+            else:
+                new.append(unit)
         if not new:
             return list(map(known.__getitem__, found))
-        new = list(new)
         passing = {}
         for unit, value in zip(new, self.learn(new)):
             (known if len(unit) <= self.LONGEST else passing)[unit] = value
