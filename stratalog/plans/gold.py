@@ -24,7 +24,7 @@ from stratalog.functions.measures import (
     score_points,
     share_where,
 )
-from stratalog.operators import aggregates, joins, ranking, windows
+from stratalog.operators import aggregates, distincts, joins, ranking, windows
 from stratalog.schema import GOLD_COLUMNS
 
 SCORE_PLACES = 3
@@ -376,3 +376,16 @@ def columns_of(name: str, rules: GoldRules = GoldRules()) -> list[str]:
 def in_report_order(name: str, table: DataFrame) -> DataFrame:
     order = GOLD_TABLES[name].order
     return ranking.order_mixed(table, order) if order else table
+
+
+DISTINCT_KEYS = ["content_type", "rating", "added_year"]
+DISTINCT_COLUMNS = ["primary_country", "primary_genre"]
+
+
+def distinct_sets(silver: DataFrame) -> DataFrame:
+    """Countries and genres of each type, rating and year of addition, as sets that merge.
+
+    Reports count them over any filter of these keys with ``distincts.distinct_counts``, without silver.
+    """
+    dictionaries = {c: distincts.dense_ids(silver, c) for c in DISTINCT_COLUMNS}
+    return distincts.distinct_states(silver, DISTINCT_KEYS, dictionaries)

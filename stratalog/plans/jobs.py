@@ -16,7 +16,7 @@ from stratalog.functions.text import all_present
 from stratalog.operators.cleanse import split_records, with_rates
 from stratalog.plans import gold, lattice, silver
 from stratalog.session import scratch_path
-from stratalog.sources import catalogue, readers, records, sinks
+from stratalog.sources import catalogue, readers, records, sinks, versions
 
 
 def bronze_to_silver(
@@ -230,3 +230,30 @@ def run_all(
         for name in run.created:
             catalogue.register_table(spark, database, name, f"{root}/curated/{name}")
     return report, run
+
+
+def publish_all(
+    spark: SparkSession,
+    bronze: DataFrame,
+    root: str,
+    database: str,
+    silver_rules: SilverRules = SilverRules(),
+    gold_rules: GoldRules = GoldRules(),
+) -> DataFrame:
+    """:func:`run_all` into a new version, read under the names of ``database`` once all of it is written.
+
+    Readers keep the last version meanwhile. If a table fails, nothing is switched and the error is raised.
+    Versions are removed by ``versions.forget``.
+    """
+    reports = []
+
+    def write(folder: str) -> dict[str, str]:
+        report, run = run_all(spark, bronze, folder, None, silver_rules, gold_rules)
+        for error in run.failed.values():
+            raise error
+        reports.append(report)
+        tables = {name: f"{folder}/curated/{name}" for name in run.created}
+        return {"silver": f"{folder}/processed"} | tables
+
+    versions.publish_bundle(spark, database, root, write)
+    return reports[0]

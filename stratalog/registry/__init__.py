@@ -10,6 +10,7 @@ def entries() -> dict[str, Entry]:
         gold_queries,
         operator_queries,
         report_queries,
+        scale_queries,
         source_queries,
     )
 

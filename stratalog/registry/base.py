@@ -79,6 +79,23 @@ class Store:
             self.written.add("states")
         return catalogue.read_table(self.spark, self.database, "states")
 
+    def distincts(self) -> DataFrame:
+        """Sets of countries and genres by type, rating and year of addition."""
+        if "distincts" not in self.written:
+            sinks.write_parquet(gold_plans.distinct_sets(self.silver()), f"{self.root}/distincts")
+            catalogue.register_table(self.spark, self.database, "distincts", f"{self.root}/distincts")
+            self.written.add("distincts")
+        return catalogue.read_table(self.spark, self.database, "distincts")
+
+    def bucketed(self, name: str, key: str, buckets: int = 16) -> DataFrame:
+        """One of the given tables, in sorted buckets of its key."""
+        by_key = f"{name}_by_{key}"
+        if by_key not in self.written:
+            rows = load(self.spark, self.sf_dir, name)
+            sinks.write_bucketed(rows, self.database, by_key, f"{self.root}/{by_key}", [key], buckets)
+            self.written.add(by_key)
+        return catalogue.read_table(self.spark, self.database, by_key)
+
     def gold(self, names: Iterable[str]) -> dict[str, DataFrame]:
         for name in names:
             if name not in self.written:

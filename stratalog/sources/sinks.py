@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,42 @@ def write_partitioned(df: DataFrame, path: str, partition_column: str = "content
     )
 
 
+def overwrite_partitions(df: DataFrame, path: str, partition_column: str = "content_type") -> None:
+    """Replace the folders of the values that ``df`` has; all others are left as they are.
+
+    Spark writes to a staging folder and moves it when all tasks are done. The rows may come from other
+    folders of the same table, not from those replaced.
+    """
+    (
+        df.write.partitionBy(partition_column)
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "snappy")
+        .parquet(path)
+    )
+
+
+def write_bucketed(
+    df: DataFrame, database: str, name: str, path: str, keys: Sequence[str], buckets: int
+) -> None:
+    """A table of ``buckets`` sorted files by the hash of ``keys``: joins, windows and groups on them need no shuffle.
+
+    The rows are shuffled here, once. A hot key is one bucket, so take keys that are about unique.
+    """
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    (
+        df.repartition(buckets, *keys)
+        .write.bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .mode("overwrite")
+        .option("path", path)
+        .option("compression", "snappy")
+        .format("parquet")
+        .saveAsTable(f"`{database}`.`{name}`")
+    )
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
