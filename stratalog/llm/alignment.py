@@ -90,7 +90,8 @@ class Aligner:
             for i, piece in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         ]
         self.length_a, self.length_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
-        self.decimal = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.names = [f"{i}{sign}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for sign in ",|;"]
+        self.name_lengths = np.array([len(n) for n in self.names], np.int64)
         pre = json.loads(self.a.to_str())["pre_tokenizer"] or {}
         inner = any(SPACE_MARK in self.b.id_to_piece(i).lstrip(SPACE_MARK) for i in range(len(self.bytes_b)))
         # A piece over a blank, or a cutter that is not known to stop there, leaves texts whole.
@@ -134,25 +135,39 @@ class Aligner:
         ends_a = refined_ends(offsets[:, 1], offsets[:, 0], self.length_a[a])
         # Spans of B are in bytes of the text, which lacks the space that B adds.
         ends_b = refined_ends(ends + 1, begins + 1, self.length_b[b])
-        unit_ends = np.cumsum([len(u.encode()) + 1 for u in found]) if len(found) > 1 else np.array([len(data)])
-        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        sizes = map(len, found if text.isascii() else [u.encode() for u in found])
+        unit_ends = np.cumsum(np.fromiter(sizes, np.int64, len(found)) + 1)
+        # Both rows of ends rise, so that what they share is found by looking one up in the other.
+        last_a = ends_b[np.minimum(np.searchsorted(ends_b, ends_a), len(b) - 1)] == ends_a
+        shared = ends_a[last_a]  # the ends of groups
         group_ends = np.searchsorted(shared, unit_ends, side="right")
         if not (shared[group_ends - 1] == unit_ends).all():
             return None
-        cuts = np.union1d(ends_a, ends_b)
+        of_a, of_b = np.flatnonzero(last_a) + 1, np.searchsorted(ends_b, shared) + 1  # tokens up to each of them
+        inside = np.ones(len(b), bool)
+        inside[of_b - 1] = False
+        cuts = np.sort(np.concatenate([ends_a, ends_b[inside]]), kind="stable")
         links = (a[np.searchsorted(ends_a, cuts)] << 32 | b[np.searchsorted(ends_b, cuts)]).tobytes()
         link_ends = (8 * np.searchsorted(cuts, unit_ends, side="right")).tolist()
         token_ends = [np.searchsorted(e, unit_ends, side="right") for e in (ends_a, ends_b)]
         counts = np.stack([np.diff(e, prepend=0) for e in (*token_ends, group_ends)], axis=1).astype(np.int32).tobytes()
-        names_a, names_b = [self.decimal[i] for i in a.tolist()], [self.decimal[i] for i in b.tolist()]
-        groups, i, j = [], 0, 0
-        for m, n in zip((np.searchsorted(ends_a, shared) + 1).tolist(), (np.searchsorted(ends_b, shared) + 1).tolist()):
-            groups.append(",".join(names_a[i:m]) + "|" + ",".join(names_b[j:n]))
-            i, j = m, n
-        out, link, group = [], 0, 0
-        for at, (link_end, group_end) in enumerate(zip(link_ends, group_ends.tolist())):
-            out.append((counts[12 * at : 12 * at + 12], links[link:link_end], ";".join(groups[group:group_end])))
-            link, group = link_end, group_end
+        # Each token with the sign behind it, those of A before those of B in each group.
+        signs = np.empty(len(a) + len(b), np.int64)
+        place_a = np.arange(len(a)) + np.append(0, of_b)[np.cumsum(last_a) - last_a]
+        named = 3 * a
+        named[of_a - 1] += 1
+        signs[place_a] = named
+        free = np.ones(len(signs), bool)
+        free[place_a] = False
+        named = 3 * b
+        named[of_b - 1] += 2
+        signs[free] = named
+        groups = "".join(map(self.names.__getitem__, signs.tolist()))
+        name_ends = np.cumsum(self.name_lengths[signs])[token_ends[0] + token_ends[1] - 1].tolist()
+        out, link, name = [], 0, 0
+        for at, link_end, name_end in zip(range(0, len(counts), 12), link_ends, name_ends):
+            out.append((counts[at : at + 12], links[link:link_end], groups[name : name_end - 1]))
+            link, name = link_end, name_end
         return out
 
     def text(self, text: str | None) -> list[tuple[bytes, bytes, str]] | None:
@@ -160,7 +175,7 @@ class Aligner:
         if not text:
             return None
         found = self.unit([text] if self.whole else units(text))
-        return None if any(u is None for u in found) else found
+        return None if None in found else found
 
 
 @functools.lru_cache(maxsize=2)
@@ -212,9 +227,10 @@ def aligned_rows(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: s
                 if found is None:
                     rows.append((doc, 0, 0, 0, 0, "", [], [], None, None))
                 else:
-                    counts = np.frombuffer(b"".join([c for c, _, _ in found]), np.int32).reshape(-1, 3).sum(axis=0).tolist()
-                    links = np.frombuffer(b"".join([k for _, k, _ in found]), np.int64)
-                    digest = hashlib.sha256(";".join([g for _, _, g in found]).encode()).hexdigest()
+                    counts, links, groups = zip(*found)
+                    counts = np.frombuffer(b"".join(counts), np.int32).reshape(-1, 3).sum(axis=0).tolist()
+                    links = np.frombuffer(b"".join(links), np.int64)
+                    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
                     pairs, times = np.unique(links, return_counts=True)
                     sums.add(pairs, times)
                     rows.append((doc, *counts, len(links), digest, pairs, times.astype(np.int32), None, None))
