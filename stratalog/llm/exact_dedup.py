@@ -195,16 +195,18 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .withColumn("fingerprint", F.xxhash64("plain"))
         .join(repeated, "fingerprint")  # as these are distinct; a semi-join would move ahead of the filter
     )
-    best = F.max(F.struct("chars", F.col("doc_id").isNotNull().alias("known"), -F.col("doc_id")))
+    # Bits turned over reverse the order of ids; a minus would overflow at the least one.
+    backwards = F.bitwise_not(F.col("doc_id")).alias("backwards")
+    best = F.max(F.struct("chars", F.col("doc_id").isNotNull().alias("known"), backwards))
     # Written, so that the join below starts from two shuffles and a hot text can be split there.
     groups = written(
         claimed.groupBy("plain").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "exact-groups"
     )
     verified = claimed.select("doc_id", "plain").join(groups, "plain").select(
         "doc_id",
-        (-F.col("best.col3")).alias("keep_id"),
+        F.bitwise_not(F.col("best.backwards")).alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(-F.col("best.col3")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.bitwise_not(F.col("best.backwards"))).alias("kept"),
         F.sha2(F.encode("plain", "UTF-8"), 256).alias("text_sha256"),
     )
     return single.unionByName(verified)

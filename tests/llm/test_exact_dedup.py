@@ -74,3 +74,11 @@ def test_repeated_fingerprints(spark):
     df = spark.range(5000).selectExpr("xxhash64(id % 3001) AS f").repartition(5)
     out = {r.fingerprint: r.copies for r in op.repeated_fingerprints(df).collect()}
     assert len(out) == 1999 and set(out.values()) == {2}
+
+
+def test_least_and_largest_ids(spark):
+    ids = [-(2**63), 2**63 - 1, -(2**63) + 1, 0]
+    df = spark.createDataFrame([(i, "same text") for i in ids] + [(None, "same  text")], "doc_id long, text string")
+    assert {(r.keep_id, r.group_size) for r in op.exact_groups(df.where("doc_id IS NOT NULL")).collect()} == {(-(2**63), 4)}
+    kept = [r.keep_id for r in op.exact_groups(df).collect()]
+    assert kept == [None] * 5  # its original text is longer
