@@ -15,7 +15,9 @@ the first few of each. Each of these names a smaller family, of half the size at
 that more had would belong to the consensus. There all agree on one more difference, and the same is done
 again. Components formed so far are merged between two rounds, so what is linked already leaves.
 
-Only families of a few sets are compared pair by pair, and those which splitting would not make cheaper.
+Families of bounded size are settled whole, each inside one task, which gives no more links than merges.
+Of others only families of a few sets are compared pair by pair, and those which splitting would not make
+cheaper.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalog.llm.common import discard, written
+from stratalog.llm.common import discard, ship, written
 from stratalog.llm.components import components
 
 FEW = 8  # families of so many sets are compared pair by pair
+#: Families of so many sets and elements at most are settled inside a task: 4 MB of sets, 511 comparisons a set at most.
+TASK_SETS, TASK_ELEMENTS = 512, 1 << 19
+_BLOCK = 4096  # elements whose columns are multiplied at once: 4 MB
 RARE = 3  # differences of so many sets list the pairs that share them
 #: From this round on a family is also compared pair by pair if splitting does not halve its pairs.
 SPLIT_FREELY = 2
@@ -79,6 +84,55 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], sizes, sets], names=[*names, "size", "members"])
 
 
+def common_elements(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common, by products of blocks of their incidence matrix."""
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    joined = np.concatenate([*sets, np.empty(0, np.int64)])
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    elements, column, times = np.unique(joined, return_inverse=True, return_counts=True)
+    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)  # those of one set only are in no common part
+    column = number[column]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for start in range(0, int(number.max(initial=-1)) + 1, _BLOCK):
+        a, b = np.searchsorted(column, [start, start + _BLOCK])
+        block = np.zeros((len(sets), _BLOCK), np.float32)
+        block[rows[a:b], column[a:b] - start] = 1
+        common += (block @ block.T).astype(np.int64)  # whole numbers of at most _BLOCK are exact
+    np.fill_diagonal(common, [len(s) for s in sets])
+    return common
+
+
+def _in_task(percent: int):
+    """Links of one family that make up a spanning forest of its parts: as many as merges."""
+
+    def settle(family: pa.Table) -> pa.Table:
+        nodes, parts, totals = (family.column(c).to_numpy() for c in ("node", "part", "n"))
+        sets = [_set(s) for s in family.column("members")]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        apart = sizes[:, None] + sizes - 2 * common_elements(sets)
+        linked = (100 + percent) * apart <= (100 - percent) * (totals[:, None] + totals)
+        names, own = np.unique(parts, return_inverse=True)
+        new = np.ones(len(names), bool)
+        found: list[tuple[int, int]] = []
+        for first in range(len(names)):
+            waiting = list(np.flatnonzero(own == first)) if new[first] else []
+            new[first] = False
+            while waiting:
+                x = waiting.pop()
+                reached = np.flatnonzero(linked[x] & new[own])
+                others, at = np.unique(own[reached], return_index=True)
+                new[others] = False
+                found.extend((x, y) for y in reached[at])
+                waiting.extend(np.flatnonzero(np.isin(own, others)) if len(others) else [])
+        x, y = np.array(found, np.int64).reshape(-1, 2).T
+        low, high = np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y])
+        part_a, part_b = np.minimum(parts[x], parts[y]), np.maximum(parts[x], parts[y])
+        return pa.table({"low": low, "high": high, "part_a": part_a, "part_b": part_b})
+
+    return settle
+
+
 def _similar(percent: int):
     """Links among pairs: the difference of two sets is that of their differences from anything."""
 
@@ -128,11 +182,17 @@ def _round(members: DataFrame, percent: int, depth: int, scratch: list[str]) ->
         return table
 
     sizes = members.groupBy("family").agg(
-        F.count(F.lit(1)).alias("sets"), F.min("part").alias("_a"), F.max("part").alias("_b")
-    )
-    sized = kept(members.join(kept(sizes.where("_a < _b").select("family", "sets"), "sizes"), "family"), "members")
-    links = [_pair_by_pair(sized.where(F.col("sets") <= FEW), percent)]
-    large = sized.where(F.col("sets") > FEW)
+        F.count(F.lit(1)).alias("sets"), F.sum(F.octet_length("members") / 8).alias("elements"),
+        F.min("part").alias("_a"), F.max("part").alias("_b"),
+    )
+    bounded = (F.col("sets") <= TASK_SETS) & (F.col("elements") <= TASK_ELEMENTS)
+    sizes = sizes.where("_a < _b").select("family", "sets", bounded.alias("bounded"))
+    sized = kept(members.join(kept(sizes, "sizes"), "family"), "members")
+    links = [sized.where("bounded").groupBy("family").applyInArrow(_in_task(percent), _LINKS)]
+    larger = sized.where("NOT bounded").drop("bounded")
+    few, large = larger.where(F.col("sets") <= FEW), larger.where(F.col("sets") > FEW)
+    if not few.isEmpty():
+        links.append(_pair_by_pair(few, percent))
     if large.isEmpty():
         return links, None
 
@@ -262,6 +322,7 @@ def family_links(members: DataFrame, percent: int) -> DataFrame:
     enough ends in one component by these links. A node may be in several families.
     """
     spark = members.sparkSession
+    ship(spark)
     found: list[DataFrame] = []
     depth = 0
     while members is not None:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,7 +87,15 @@ def test_a_large_family_loses_no_link(spark):
     assert found(df) == by_hand(rows)
 
 
-def test_links_left_between_components(spark, monkeypatch):
+@pytest.fixture(params=["split", "in tasks"])
+def settled(request, monkeypatch):
+    """Families of more than a few sets are split on the cluster, as large ones are, or settled in tasks."""
+    if request.param == "split":
+        monkeypatch.setattr(families, "TASK_SETS", families.FEW)
+    return request.param
+
+
+def test_links_left_between_components(spark, monkeypatch, settled):
     """Without the first comparison everything has to come from the pairs across components."""
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(60)]
@@ -107,7 +116,7 @@ def test_links_left_between_components(spark, monkeypatch):
 
 
 @pytest.mark.parametrize(("edits", "percent", "bands"), [(4, 80, 36), (3, 80, 36), (3, 85, 24)])
-def test_families_without_a_base_are_not_paired(spark, monkeypatch, edits, percent, bands):
+def test_families_without_a_base_are_not_paired(spark, monkeypatch, settled, edits, percent, bands):
     """Copies that differ from a missing base by a few words each: all links, by few comparisons a row."""
     compared = []
     whole = families._checked
@@ -130,7 +139,7 @@ def test_families_without_a_base_are_not_paired(spark, monkeypatch, edits, perce
     assert sum(compared) < 12 * len(rows)  # of 28,680 pairs
 
 
-def test_families_of_any_sets(spark):
+def test_families_of_any_sets(spark, settled):
     """Random sets around few centres, empty ones included, in overlapping families, against all pairs."""
     rng = random.Random(8)
     centres = [rng.sample(range(10**6), 60) for _ in range(3)]
@@ -157,6 +166,44 @@ def test_families_of_any_sets(spark):
     assert [one.root(x) for x in range(160)] == [two.root(x) for x in range(160)]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(-30, 30)), max_size=12), st.integers(1, 7))
+def test_common_elements(sets, block):
+    arrays = [np.array(sorted(s), np.int64) for s in sets]
+    whole, families._BLOCK = families._BLOCK, block
+    try:
+        assert families.common_elements(arrays).tolist() == [[len(a & b) for b in sets] for a in sets]
+    finally:
+        families._BLOCK = whole
+
+
+def test_a_family_in_a_task_gives_a_forest():
+    """As many links as components merge, none inside a part, none of sets that are too different."""
+    rng = random.Random(12)
+    sets = [set(range(40)) ^ set(rng.sample(range(60), rng.choice([0, 1, 2, 9]))) for _ in range(80)] + [set()]
+    parts = [rng.randrange(60) for _ in sets]
+    table = pa.table(
+        {
+            "family": [1] * len(sets), "node": range(500, 500 + len(sets)), "n": [len(s) for s in sets], "part": parts,
+            "members": [np.array(sorted(s), np.int64).tobytes() for s in sets],
+        }
+    )
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    by_links, by_hand_ = cc.UnionFind(), cc.UnionFind()
+    links = families._in_task(80)(table).to_pylist()
+    for link in links:
+        a, b = link["low"] - 500, link["high"] - 500
+        assert near(a, b) and sorted([parts[a], parts[b]]) == [link["part_a"], link["part_b"]]
+        assert by_links.root(parts[a]) != by_links.root(parts[b])
+        by_links.union(parts[a], parts[b])
+    for a in range(len(sets)):
+        for b in range(a):
+            if near(a, b):
+                by_hand_.union(parts[a], parts[b])
+    assert [by_links.root(p) for p in parts] == [by_hand_.root(p) for p in parts]
+    assert links and families._in_task(80)(table.slice(0, 1)).num_rows == 0
+
+
 def test_hot_copies_and_other_bar(spark):
     rows = [(i, "the same few words again and again here") for i in range(400)]
     rows += [(1000 + i, f"number {i} is a text of its own with words {i * 7} {i * 11}") for i in range(300)]
