@@ -37,7 +37,7 @@ from stratalog.llm.components import components
 FEW = 8  # families of so many sets are compared pair by pair
 #: Families of so many sets and elements at most are settled inside a task: 4 MB of sets, 511 comparisons a set at most.
 TASK_SETS, TASK_ELEMENTS = 512, 1 << 19
-_BLOCK = 4096  # elements whose columns are multiplied at once: 4 MB
+_BLOCK = 4096  # elements whose bits are held at once, a multiple of 64: 2 MB
 RARE = 3  # differences of so many sets list the pairs that share them
 #: From this round on a family is also compared pair by pair if splitting does not halve its pairs.
 SPLIT_FREELY = 2
@@ -85,7 +85,7 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_elements(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets have in common, by products of blocks of their incidence matrix."""
+    """How many elements each two sets have in common, counting the bits that rows of bits share."""
     common = np.zeros((len(sets), len(sets)), np.int64)
     joined = np.concatenate([*sets, np.empty(0, np.int64)])
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -96,9 +96,11 @@ def common_elements(sets: list[np.ndarray]) -> np.ndarray:
     rows, column = rows[order], column[order]
     for start in range(0, int(number.max(initial=-1)) + 1, _BLOCK):
         a, b = np.searchsorted(column, [start, start + _BLOCK])
-        block = np.zeros((len(sets), _BLOCK), np.float32)
-        block[rows[a:b], column[a:b] - start] = 1
-        common += (block @ block.T).astype(np.int64)  # whole numbers of at most _BLOCK are exact
+        block = np.zeros((len(sets), _BLOCK), bool)
+        block[rows[a:b], column[a:b] - start] = True
+        bits = np.packbits(block, axis=1).view(np.uint64)
+        for k, own in enumerate(bits):
+            common[k] += np.bitwise_count(bits & own).sum(axis=1, dtype=np.int64)
     np.fill_diagonal(common, [len(s) for s in sets])
     return common
 

@@ -167,7 +167,7 @@ def test_families_of_any_sets(spark, settled):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.sets(st.integers(-30, 30)), max_size=12), st.integers(1, 7))
+@given(st.lists(st.sets(st.integers(-90, 90)), max_size=12), st.sampled_from([64, 128]))
 def test_common_elements(sets, block):
     arrays = [np.array(sorted(s), np.int64) for s in sets]
     whole, families._BLOCK = families._BLOCK, block
