@@ -18,7 +18,7 @@ import functools
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ TOKENS_A, TOKENS_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MOST_PAIRS = 2_000_000  # of 16 bytes: what is sent to all tasks at most
 PAIRS_IN_TASK = 500_000  # sums that a task holds before it passes them on
 FLUSH_LINKS = 1 << 20
+TEXTS_CHARS = 1 << 16  # of texts whose new units are aligned together
 SPACE_MARK = "▁"
 
 _COUNTS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
@@ -104,19 +105,20 @@ class Aligner:
         None where tokens do not give back the bytes.
 
         Units without white space at their ends are put together to one text, as blanks between them are
-        safe; if that fails, a unit in it does, and each is aligned for itself.
+        safe; if that fails, a unit in it does, and each half is tried for itself.
         """
-        if not self.whole and len(found) > 1:
-            together = [u for u in found if not (u[0].isspace() or u[-1].isspace() or SPACE_MARK in u)]
-            values = self._aligned(together) if together else None
-            if values is not None:
-                known = dict(zip(together, values))
-                return [known[u] if u in known else self._alone(u) for u in found]
-        return [self._alone(u) for u in found]
-
-    def _alone(self, unit: str) -> tuple[bytes, bytes, str] | None:
-        found = self._aligned([unit])
-        return None if found is None else found[0]
+        together = [] if self.whole else [u for u in found if not (u[0].isspace() or u[-1].isspace() or SPACE_MARK in u)]
+        known = dict(zip(together, self._together(together)))
+        return [known[u] if u in known else self._together([u])[0] for u in found]
+
+    def _together(self, found: list[str]) -> list[tuple[bytes, bytes, str] | None]:
+        values = self._aligned(found) if found else []
+        if values is not None:
+            return values
+        if len(found) == 1:
+            return [None]
+        half = len(found) // 2
+        return self._together(found[:half]) + self._together(found[half:])
 
     def _aligned(self, found: list[str]) -> list[tuple[bytes, bytes, str]] | None:
         text = " ".join(found)
@@ -172,10 +174,15 @@ class Aligner:
 
     def text(self, text: str | None) -> list[tuple[bytes, bytes, str]] | None:
         """The alignments of the units of a text, in order; None if it has no tokens."""
-        if not text:
-            return None
-        found = self.unit([text] if self.whole else units(text))
-        return None if None in found else found
+        return self.texts([text])[0]
+
+    def texts(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes, str]] | None]:
+        """The same for several texts. What is new in any of them is aligned at once."""
+        parts = [[] if not t else [t] if self.whole else units(t) for t in texts]
+        found = self.unit(list(chain.from_iterable(parts)))
+        ends = list(accumulate(map(len, parts)))
+        own = [found[start:end] for start, end in zip([0, *ends], ends)]
+        return [None if not f or None in f else f for f in own]
 
 
 @functools.lru_cache(maxsize=2)
@@ -220,10 +227,20 @@ def aligned_rows(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: s
             empty = [None] * len(pairs)
             return table([*[empty] * 8, pairs, links])
 
+        def own_texts(batch: pa.RecordBatch) -> Iterator[tuple]:
+            ids, texts, chars = [], [], 0
+            for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(doc)
+                texts.append(whole.as_py())
+                chars += len(texts[-1] or "")
+                if chars >= TEXTS_CHARS:
+                    yield from zip(ids, own.texts(texts))
+                    ids, texts, chars = [], [], 0
+            yield from zip(ids, own.texts(texts))
+
         for batch in batches:
             rows, held = [], 0
-            for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = own.text(whole.as_py())
+            for doc, found in own_texts(batch):
                 if found is None:
                     rows.append((doc, 0, 0, 0, 0, "", [], [], None, None))
                 else:

@@ -123,3 +123,19 @@ def test_coarse_cuts_are_refined():
     assert op.refined_ends(np.array([2, 5, 5, 5, 6]), np.array([0, 2, 2, 2, 5]), np.array([2, 1, 1, 1, 1])).tolist() == [2, 3, 4, 5, 6]
     # A fallback span that is told by its last byte only.
     assert op.refined_ends(np.array([2, 2, 2, 5]), np.array([0, 2, 2, 2]), np.array([2, 1, 1, 1])).tolist() == [2, 3, 4, 5]
+
+
+def test_new_units_of_several_texts_are_aligned_at_once(own, monkeypatch):
+    """A call of both libraries for many texts; a unit that cannot be aligned costs a few more, not one for each."""
+    texts = [" ".join(f"new{i}x{k}" for k in range(30)) for i in range(40)]
+    fresh, alone = op.Aligner(op._path(op.TOKENS_A), op._path(op.TOKENS_B)), []
+    aligned = fresh._aligned
+    monkeypatch.setattr(fresh, "_aligned", lambda found: alone.append(len(found)) or aligned(found))
+    assert fresh.texts([None, "", *texts]) == [None, None, *map(own.text, texts)]
+    assert len(alone) == 1
+    alone.clear()
+    monkeypatch.setattr(fresh, "_aligned", lambda found: alone.append(len(found)) or (None if "bad" in found else aligned(found)))
+    mixed = [*texts[:20], "one bad other", *(f"more{i} units{i}" for i in range(300))]
+    found = fresh.texts(mixed)
+    assert found[20] is None and [f for f in found if f] == [own.text(t) for t in mixed if "bad" not in t]
+    assert len(alone) < 40
