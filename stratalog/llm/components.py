@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import discard, ship, written
 
+_LINKS = "parent bigint, child bigint"
+#: What is left of links of at most this number, 1 MB of them, is put together in one task.
+LINKS_IN_TASK = 1 << 16
+
 
 class UnionFind:
     """Sets of numbers; the root of a set is its smallest number."""
@@ -51,14 +55,19 @@ def components(links: DataFrame) -> DataFrame:
     Each round: every partition keeps only a spanning forest of its links; every child keeps its
     smallest parent, its other parents are linked to that one, and parents are replaced by theirs,
     which halves the paths. It ends when all parents are roots. A task keeps the links of one partition;
-    children are grouped with a map-side combine, so a node with very many links is no burden.
+    children are grouped with a map-side combine, so a node with very many links is no burden. Rounds are
+    for what no task should hold: once the forests of all partitions have ``LINKS_IN_TASK`` links or fewer,
+    one more forest of these is the end.
     """
     ship(links.sparkSession)
     edges = links.toDF("parent", "child")
     previous = None
     while True:
-        forest = edges.mapInArrow(_forest, "parent bigint, child bigint")
-        forest, forest_path = written(forest, "forest", with_path=True)
+        forest, forest_path = written(edges.mapInArrow(_forest, _LINKS), "forest", with_path=True)
+        if forest.count() <= LINKS_IN_TASK:
+            edges = written(forest.coalesce(1).mapInArrow(_forest, _LINKS), "parents")
+            discard(links.sparkSession, forest_path, *([previous] if previous else []))
+            break
         chosen = forest.groupBy("child").agg(F.min("parent").alias("parent"))
         above = chosen.toDF("parent", "higher")
         other = forest.join(chosen.toDF("child", "chosen"), "child").where("parent > chosen").select(
