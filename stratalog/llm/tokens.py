@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
@@ -100,6 +101,39 @@ class UnitMemory:
         return [passing[u] if u in passing else known[u] for u in found]
 
 
+class WordMemory(dict):
+    """The same for words that are learnt one at a time. A word that is here is looked up like in any dictionary."""
+
+    LONGEST = UnitMemory.LONGEST
+    KEPT = 349_000  # what a table of 2^19 places holds before it grows
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.older: dict = {}
+
+    def __missing__(self, word: str):
+        value = self.older.get(word)
+        if value is None:
+            value = self.learn(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
+def cut_at_blanks(path: str) -> bool:
+    """Whether the tokenizer of a file is known to cut wherever ``units`` does, and nothing else to look over it."""
+    found = json.loads(tokenizer(path).to_str())
+    pre = found["pre_tokenizer"] or {}
+    return (
+        pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        and not found["normalizer"]
+        and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in found["added_tokens"])
+    )
+
+
 class WordIds:
     """Ids of texts as the library gives them, which sees each word once.
 
@@ -117,17 +151,28 @@ class WordIds:
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = {t: array("I", [self.library.token_to_id(t)]).tobytes() for t in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.word = UnitMemory(lambda new: list(map(self._word, new)))
+        self.blank = self.letters[ord(" ")]
+        self.word = WordMemory(self._word)
 
     def _word(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
+        if word.isascii() and word.isprintable():  # of these bytes only the blank has another letter
+            letters = word.replace(" ", self.blank)
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        known = self.word.__getitem__
+        pieces = self.cut.split(text) if self.cut else [text]
+        if len(pieces) == 1 and text not in self.special:
+            return b"".join(map(known, self.words(text)))
         parts = []
-        for part in self.cut.split(text) if self.cut else [text]:
-            parts.extend([self.special[part]] if part in self.special else self.word(self.words(part)))
+        for part in pieces:
+            if part in self.special:
+                parts.append(self.special[part])
+            else:
+                parts.extend(map(known, self.words(part)))
         return b"".join(parts)
 
 

@@ -188,3 +188,82 @@ def test_memory_is_bounded_by_bytes(own, library):
     text = " ".join("ab" * 20_000 + str(k) for k in range(3))
     assert own.encode(text) == ids_of(library, text)
     assert not any(len(w) > UnitMemory.LONGEST for w in own.word.known)
+
+
+def test_units_are_counted_once(library):
+    """The library sees each unit once, not every text whole; counts are those of whole texts."""
+    seen = []
+
+    def encode(pieces):
+        seen.extend(pieces)
+        return library.encode_batch_fast(pieces, add_special_tokens=False)
+
+    texts = ["", "one two  three\n four two", "<|endoftext|> two <|endoftext|>x two\u2003 y", " lead", "x" * 60 + " " + "y" * 60] * 50
+    lengths = token_counts.UnitLengths(encode)
+    expected = [len(ids_of(library, t)) for t in texts]
+    assert lengths.count(texts, 1 << 20).tolist() == expected
+    # Blank and unit once; first units, which have no blank before them, each time.
+    assert len([p for p in seen if p == " two"]) == 1 and len(seen) < 2 * len(texts)
+    assert lengths.count(texts, 1 << 20).tolist() == expected
+    assert len([p for p in seen if p == " two"]) == 1
+    assert not any(len(u) > lengths.LONGEST for u in lengths)
+
+
+def test_generations_of_counts_are_bounded(library):
+    lengths = token_counts.UnitLengths(lambda pieces: library.encode_batch_fast(pieces, add_special_tokens=False))
+    lengths.KEPT = 100
+    for k in range(0, 1000, 10):
+        text = " ".join(f"w{i}" for i in range(k, k + 20))
+        assert lengths.count([text], 1 << 20).tolist() == [len(ids_of(library, text))]
+        assert len(lengths) + len(lengths.older) <= 2 * (100 + 20)
+
+
+def test_units_need_a_tokenizer_that_cuts_at_blanks(tmp_path):
+    import json
+
+    from stratalog.llm.tokens import cut_at_blanks
+
+    with open(vocabulary_path(None), encoding="utf-8") as file:
+        model = json.load(file)
+    assert cut_at_blanks(vocabulary_path(None))
+    model["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "whole.json").write_text(json.dumps(model))
+    assert not cut_at_blanks(str(tmp_path / "whole.json"))
+    model["pre_tokenizer"]["use_regex"] = True
+    model["added_tokens"][0]["rstrip"] = True
+    (tmp_path / "strip.json").write_text(json.dumps(model))
+    assert not cut_at_blanks(str(tmp_path / "strip.json"))
+
+
+def test_words_are_learnt_once_and_bounded():
+    from stratalog.llm.tokens import WordMemory
+
+    learnt = []
+
+    def learn(word):
+        learnt.append(word)
+        return word.encode()
+
+    memory = WordMemory(learn)
+    memory.KEPT = 10
+    for word in [f"w{k}" for k in range(8)] * 5 + ["z" * 100, "z" * 100]:
+        assert memory[word] == word.encode()
+    assert len(learnt) == 10 and "z" * 100 not in memory
+    for k in range(1000):
+        assert memory[f"w{k % 37}"] == f"w{k % 37}".encode() and len(memory) + len(memory.older) <= 20
+
+
+def test_words_are_looked_up_without_a_call():
+    """Ids of a text are joined straight from the memory: met words take no function of this module."""
+    import sys
+
+    ids = word_ids(vocabulary_path(None))
+    text = "the memory of words, met before " * 50
+    first = ids(text)
+    calls = []
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        again = ids(text)
+    finally:
+        sys.setprofile(None)
+    assert again == first and len(calls) <= 4
