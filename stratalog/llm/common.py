@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +21,9 @@ from stratalog.sources.derived import load
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: Largest filter of ``members_first``: 2^30 bits, 128 MiB, whatever the input.
 MAX_FILTER_BITS = 1 << 30
+#: Bytes of the rows that a worker gets at once, and Spark's default, with which both sides hold 10,000 texts or 64 MB.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_UNSET = "67108864b"
 _BITMAP_BITS = 32_768  # what one value of bitmap_construct_agg holds
 
 
@@ -26,7 +32,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
+    """Send this package to the Python workers, once for each application.
+
+    Batches of rows for them get a lower bound in bytes, in a session that is at Spark's default.
+    """
+    if spark.conf.get(BATCH_SETTING) == BATCH_UNSET:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     context = spark.sparkContext
     marker = "_stratalog_shipped"
     if getattr(context, marker, False):
@@ -40,6 +51,16 @@ def ship(spark: SparkSession) -> None:
     setattr(context, marker, True)
 
 
+def give_back() -> None:
+    """Memory that the allocators of a worker keep for later goes back to the system.
+
+    Workers live as long as their executor and hold what their largest task needed; each task gives it back.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # of the C library of Linux only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def written(df: DataFrame, name: str, with_path: bool = False):
     """``df`` written to the shared scratch folder and read again, which cuts its lineage."""
     path = scratch_path(df.sparkSession, name)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalog.llm.common import discard, ship, written
+from stratalog.llm.common import discard, give_back, ship, written
 from stratalog.llm.components import components
 
 FEW = 8  # families of so many sets are compared pair by pair
@@ -63,6 +63,7 @@ def _each_element(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 elements = pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in kept), elements], names=[*names, "element"])
                 start, held = end, 0
+    give_back()
 
 
 def _elements(rows: DataFrame, *columns: str) -> DataFrame:

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import discard, documents, free_name, members_first, numbered_rows, ship, without, written
+from stratalog.llm.common import discard, documents, free_name, give_back, members_first, numbered_rows, ship, without, written
 from stratalog.llm.components import components
 from stratalog.llm.families import family_links
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5  # a pair at 0.85 is missed with probability (1 - 0.85^5)^24, under one in a million
 PERCENT = 85
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18  # texts sketched at once; each of their shingles may take a permutation of all places
 
 _U = np.uint64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -182,6 +182,7 @@ def _sketch(bands: int, rows: int):
                     ],
                     names=["doc_id", "n_shingles", "set_key", "bands"],
                 )
+        give_back()
 
     return sketch
 
@@ -193,6 +194,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())],
                 names=["node", "members"],
             )
+    give_back()
 
 
 def _linked(percent: int):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import documents, ranked, salt, ship, shuffle_partitions, written
+from stratalog.llm.common import documents, give_back, ranked, salt, ship, shuffle_partitions, written
 from stratalog.llm.tokens import END_OF_TEXT, word_ids, vocabulary_path
 
 CAPACITY = 2048
@@ -170,6 +170,7 @@ def tokenised_pieces(
                     yield block()
                     rows = [[] for _ in columns]
             yield block()
+        give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"

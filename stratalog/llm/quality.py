@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import documents, free_name, ship
+from stratalog.llm.common import documents, free_name, give_back, ship
 from stratalog.llm.linear import Rows, fit_logistic, platt, sigmoid
 from stratalog.llm.samples import held_out, known_labels, thinned
 from stratalog.sources.derived import load
@@ -131,6 +131,7 @@ class QualityModel:
                 yield pa.StructArray.from_arrays(
                     [pa.array(sigmoid(a)), pa.array(sigmoid(b)), pa.array(joint)], names=["content", "page", "score"]
                 )
+            give_back()
 
         scores.__annotations__ = {
             "batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array],
@@ -196,6 +197,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("label"), batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
             names=["label", "doc_id", "words", "word_values", "marks", "mark_values"],
         )
+    give_back()
 
 
 def _collected(rows: DataFrame) -> list[tuple]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import documents, free_name, ship, written
+from stratalog.llm.common import documents, free_name, give_back, ship, written
 from stratalog.llm.linear import Rows, fit_logistic, sigmoid
 from stratalog.llm.minhash import shingle_sets
 from stratalog.llm.samples import held_out, known_labels, thinned
@@ -229,6 +229,7 @@ class ToxicityModel:
             for batch in batches:
                 margins = [weights[read(t.as_py() or "")[1]].sum() + weights[-1] for t in batch]
                 yield pa.array(sigmoid(np.array(margins, dtype=float)), pa.float64())
+            give_back()
 
         scores.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(scores, "double")(text)
@@ -247,6 +248,7 @@ def _terms_and_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                  pa.array([label.as_py()] * len(terms), pa.int32())],
                 names=["term", "family", "label"],
             )
+    give_back()
 
 
 def mined_terms(texts: DataFrame) -> tuple[tuple[str, int], ...]:
@@ -293,6 +295,7 @@ def _votes(voters: Voters, with_features: bool):
                 arrays.append(batch.column("label"))
                 names.append("label")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
 
     return vote
 

@@ -44,3 +44,46 @@ def test_ranks(spark):
     for group in {r.g for r in out}:
         members = sorted((r for r in out if r.g == group), key=lambda r: (r.b, r.id))
         assert [r["rank"] for r in members] == list(range(len(members)))
+
+
+def test_batches_for_workers_are_bounded_by_bytes(spark):
+    """Texts of 100 KB come in batches of a few MB, unless the session says otherwise."""
+    import pyarrow as pa
+
+    from stratalog.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    texts = spark.range(300, numPartitions=1).selectExpr("id", "repeat('x', 100000) AS text")
+    before = spark.conf.get(common.BATCH_SETTING)
+    try:
+        spark.conf.set(common.BATCH_SETTING, common.BATCH_UNSET)
+        common.ship(spark)
+        found = [r.n for r in texts.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(found) == 300 and max(found) * 100_000 < 2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_SETTING, 16 << 20)
+        common.ship(spark)
+        assert max(r.n for r in texts.mapInArrow(sizes, "n bigint").collect()) > 100
+    finally:
+        spark.conf.set(common.BATCH_SETTING, before)
+
+
+def test_workers_give_memory_back():
+    import os
+
+    import numpy as np
+
+    from stratalog.llm.common import give_back
+
+    def held():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    before = held()
+    parts = [np.ones(5000) for _ in range(2000)]  # 80 MB in small pieces, with a last one above them
+    last = np.ones(5000)
+    del parts
+    give_back()
+    assert held() - before < 20 << 20 and len(last) == 5000

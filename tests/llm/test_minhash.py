@@ -292,3 +292,47 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
     assert {r.node: r.component for r in cc.components(df).collect()} == expected
     assert cc.components(df.where("a < 0")).count() == 0
+
+
+@pytest.fixture
+def chain(spark):
+    """Links of a long chain in any order, a star and a circle, and what they make."""
+    links = [(k + 1, k) for k in range(100, 400)] + [(1000, 1000 + k) for k in range(1, 50)] + [(2000 + k, 2000 + (k + 1) % 30) for k in range(30)]
+    random.Random(3).shuffle(links)
+    expected = {**dict.fromkeys(range(100, 401), 100), **dict.fromkeys(range(1000, 1050), 1000), **dict.fromkeys(range(2000, 2030), 2000)}
+    return spark.createDataFrame(links, "a bigint, b bigint").repartition(8), expected
+
+
+def test_few_links_need_no_rounds(chain, monkeypatch):
+    tables, written = [], cc.written
+    monkeypatch.setattr(cc, "written", lambda df, name, **options: tables.append(name) or written(df, name, **options))
+    links, expected = chain
+    assert {r.node: r.component for r in cc.components(links).collect()} == expected
+    assert tables == ["forest", "parents"]
+
+
+def test_many_links_go_by_rounds(chain, monkeypatch):
+    tables, written = [], cc.written
+    monkeypatch.setattr(cc, "written", lambda df, name, **options: tables.append(name) or written(df, name, **options))
+    monkeypatch.setattr(cc, "LINKS_IN_TASK", 100)
+    links, expected = chain
+    assert {r.node: r.component for r in cc.components(links).collect()} == expected
+    assert len(tables) > 2
+
+
+def test_sketches_hold_few_permutations(monkeypatch):
+    """A permutation of all places of each shingle at hand stays under 32 MB, and chunks do not matter."""
+    held, signatures = [], op.super_minhash
+
+    def watched(sets, places):
+        held.append(2 * places * sum(map(len, sets)))
+        return signatures(sets, places)
+
+    monkeypatch.setattr(op, "super_minhash", watched)
+    words = random.Random(5)
+    texts = [" ".join(f"w{words.randrange(10_000)}" for _ in range(300)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    whole = pa.Table.from_batches(op._sketch(36, 5)([batch]))
+    assert max(held) < 32 << 20
+    single = pa.Table.from_batches(op._sketch(36, 5)([batch.slice(k, 1) for k in range(40)]))
+    assert whole.slice(0, 40).to_pylist() == single.to_pylist()
